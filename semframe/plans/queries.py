@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from semframe.operators.nested import nested_nodes, nested_objects, nested_strings
+from semframe.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +28,16 @@ def query(sql: str | None = None):
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     raise NotImplementedError
+
+
+# ---------------------------------------------------------------- problem 7
+
+
+@query()
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    entity = table(spark, folder, "entity")
+    found = nested_objects(nested_nodes(entity, "id", "properties")).select("record_id", "parent_id", "prop", "child_id")
+    for name in ("referents", "datasets"):
+        strings = nested_strings(nested_nodes(entity, "id", name))
+        found = found.union(strings.select("record_id", F.col("record_id").alias("parent_id"), F.lit(name).alias("prop"), "child_id"))
+    return found.where("record_id is not null").distinct()
