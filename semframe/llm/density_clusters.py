@@ -67,9 +67,13 @@ def density_clusters(df: DataFrame, keys: list[str], vector: str, min_cosine: fl
     basins = staged(follow(every).join(classes.distinct.select("vid", "vec", "n"), "vid"), "basins")
 
     def across(cosines, qids, qx, eids, ex, mask):
-        r, c = np.nonzero((cosines >= least) & (qx[:, None] != ex[None, :]))
-        pairs = np.unique(np.stack([qx[r], ex[c]], 1), axis=0) if len(r) else np.zeros((0, 2), np.int64)
-        return [pairs[:, 0], pairs[:, 1]]
+        # rows and columns of one label side by side, so one bit a label is left
+        r, c = np.argsort(qx, kind="stable"), np.argsort(ex, kind="stable")
+        a, at = np.unique(qx[r], return_index=True)
+        b, to = np.unique(ex[c], return_index=True)
+        met = np.maximum.reduceat(np.maximum.reduceat(cosines[:, c], to, axis=1)[r], at, axis=0) >= least
+        i, j = np.nonzero(met & (a[:, None] != b[None, :]))
+        return [a[i], b[j]]
 
     clustered = basins.select("vid", "vec", F.col("label").alias("x"))
     bridges = search_blocks(clustered, clustered, index, across, "a long, b long", extra=True)

@@ -168,7 +168,7 @@ class MultiIndex:
         return len(self.salts)
 
 
-def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows: int = 64, block_rows: int = 2048, sample: int = 16384, max_half: int = 1024, rounds: int = 8, probes_a_task: int = 100_000, seed: int = 7) -> MultiIndex:
+def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows: int = 64, block_rows: int = 2048, sample: int = 16384, max_half: int = 1024, rounds: int = 8, probes_a_task: int = 50_000, seed: int = 7) -> MultiIndex:
     """Fit on at most ``sample`` rows, then count the entries of every cell.
 
     Cells are packed into blocks of about ``block_rows`` entries along the

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semframe.llm.density_clusters import density_clusters, describe_clusters
+from semframe.llm.shared_spans import shared_share, shared_spans, sharing_pairs
 from semframe.llm.similar_vectors import most_similar
 from semframe.runtime import table
 
@@ -77,3 +78,17 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     titles = docs.select(F.col("doc_id").alias("typical_id"), "title")
     rows = told.select("first_doc_id", "size", F.explode("typical").alias("t")).select("first_doc_id", "size", "t.place", F.col("t.doc_id").alias("typical_id"))
     return rows.join(titles, "typical_id").select("first_doc_id", "size", "place", "typical_id", "title")
+
+
+# --------------------------------------------------------------- problem 10
+
+
+@query()
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sharing_pairs(shared_spans(table(spark, folder, "documents"), "doc_id", "text", length=250))
+
+
+@query()
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document is shared elsewhere."""
+    return shared_share(shared_spans(table(spark, folder, "documents"), "doc_id", "text", length=250))
