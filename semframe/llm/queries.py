@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semframe.llm.density_clusters import density_clusters, describe_clusters
+from semframe.llm.leaks import leaked_passages
+from semframe.llm.mixing import Mix, mix_sources, token_counts
+from semframe.llm.pieces import cut_pieces
 from semframe.llm.shared_spans import shared_share, shared_spans, sharing_pairs
 from semframe.llm.similar_vectors import most_similar
-from semframe.runtime import table
+from semframe.runtime import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,6 +83,85 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(titles, "typical_id").select("first_doc_id", "size", "place", "typical_id", "title")
 
 
+# ---------------------------------------------------------------- problem 5
+
+PIECE, OVERLAP = 2000, 200
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = cut_pieces(table(spark, folder, "documents"), ["doc_id"], "text", PIECE, OVERLAP).withColumnsRenamed({"doc_id": "id"})
+    chunks = cut_pieces(table(spark, folder, "chunks"), ["id", "chunk_id"], "content", PIECE, OVERLAP)
+    docs = docs.select(F.lit("document").alias("item_kind"), "id", F.lit(-1).cast("long").alias("chunk_id"), *docs.columns[1:])
+    return docs.union(chunks.select(F.lit("chunk"), *chunks.columns))
+
+
+@query("""
+with items as (
+  select 'document' item_kind, doc_id id, -1::bigint chunk_id, text from documents
+  union all select 'chunk', id, chunk_id, content from chunks)
+select distinct 'oversized' case_kind, item_kind, id, chunk_id from items where length(text) > 2000
+union
+select distinct 'unbreakable', item_kind, id, chunk_id from items where length(text) > 2000
+and list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]'), lambda x: length(x))) > 2000
+""")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = _pieces(spark, folder).select("item_kind", "id", "chunk_id", "longest_run").distinct()
+    kinds = F.explode(F.array_compact(F.array(F.lit("oversized"), F.when(F.col("longest_run") > PIECE, F.lit("unbreakable")))))
+    return items.select(kinds.alias("case_kind"), "item_kind", "id", "chunk_id")
+
+
+@query()
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)
+
+
+# ---------------------------------------------------------------- problem 8
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_passages(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+@query()
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder)
+
+
+# ---------------------------------------------------------------- problem 9
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    counted = staged(token_counts(table(spark, folder, "documents"), "doc_id", "text", "source", VOCABULARY), "tokens")
+    return mix_sources(counted, table(spark, folder, "mix_targets"))
+
+
+@query("""
+with docs as (select distinct doc_id, lower(trim(source)) source, coalesce(length(text), 0) size from documents),
+sums as (select source, sum(size) size from docs group by source)
+select distinct t.source from mix_targets t left join sums s on s.source = t.source
+where coalesce(s.size, 0) * t.max_repeats < t.target_share * (select sum(size) from docs)
+""")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report.where("not reachable").select("source")
+
+
+@query()
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report
+
+
+@query()
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).placed
+
+
 # --------------------------------------------------------------- problem 10
 
 
