@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from semframe.llm.density_clusters import density_clusters, describe_clusters
 from semframe.llm.leaks import leaked_passages
 from semframe.llm.mixing import Mix, mix_sources, token_counts
+from semframe.llm.names import link_names, typed_names
 from semframe.llm.pieces import cut_pieces
 from semframe.llm.shared_spans import shared_share, shared_spans, sharing_pairs
 from semframe.llm.similar_vectors import most_similar
@@ -58,6 +59,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+# ---------------------------------------------------------------- problem 2
+
+
+@query()
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = typed_names(table(spark, folder, "entity"), table(spark, folder, "companies"), [table(spark, folder, "songs_left"), table(spark, folder, "songs_right")])
+    return link_names(names, "kind", "key", "name", "k", "mark", "place", "year").withColumnRenamed("group", "kind")
+
+
 # ---------------------------------------------------------------- problem 3
 
 CLUSTERED = {"documents": ("documents", ["doc_id"], "title_embedding"), "chunks": ("chunks", ["id", "chunk_id"], "embedding")}
