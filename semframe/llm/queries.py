@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from semframe.llm.density_clusters import density_clusters, describe_clusters
 from semframe.llm.leaks import leaked_passages
+from semframe.llm.listings import same_listings
+from semframe.llm.matching import match_products, match_songs
 from semframe.llm.mixing import Mix, mix_sources, token_counts
 from semframe.llm.names import link_names, typed_names
 from semframe.llm.pieces import cut_pieces
@@ -93,6 +95,14 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(titles, "typical_id").select("first_doc_id", "size", "place", "typical_id", "title")
 
 
+# ---------------------------------------------------------------- problem 4
+
+
+@query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_listings([(table(spark, folder, "abt_products"), "id_abt"), (table(spark, folder, "buy_products"), "id_buy")])
+
+
 # ---------------------------------------------------------------- problem 5
 
 PIECE, OVERLAP = 2000, 200
@@ -125,6 +135,26 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+# ---------------------------------------------------------------- problem 6
+
+
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    songs = match_songs(table(spark, folder, "songs_left"), table(spark, folder, "songs_right"))
+    products = match_products(table(spark, folder, "abt_products"), table(spark, folder, "buy_products"))
+    return songs.select(F.lit("songs").alias("kind"), *songs.columns).union(products.select(F.lit("products"), *products.columns))
+
+
+@query()
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _matches(spark, folder).select("kind", "left_key", "right_key")
+
+
+@query()
+def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The matches with their scores and confidences."""
+    return _matches(spark, folder)
+
+
 # ---------------------------------------------------------------- problem 8
 
 
