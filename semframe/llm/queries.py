@@ -51,7 +51,19 @@ def _second_key(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-@query()
+@query("""
+WITH items AS (
+  SELECT 'chunks' AS collection, id, chunk_id, any_value(embedding)::DOUBLE[] AS e FROM chunks GROUP BY ALL
+  UNION ALL SELECT 'documents', doc_id, -1, any_value(text_embedding)::DOUBLE[] FROM documents GROUP BY ALL
+  UNION ALL SELECT 'tables', table_id, -1, any_value(embedding)::DOUBLE[] FROM table_vectors GROUP BY ALL),
+usable AS (SELECT * FROM items WHERE e IS NOT NULL AND isfinite(list_inner_product(e, e)) AND list_inner_product(e, e) > 0),
+pairs AS (SELECT a.collection, a.id AS a_id, a.chunk_id AS a_chunk, b.id AS b_id, b.chunk_id AS b_chunk, list_cosine_similarity(a.e, b.e) AS c
+  FROM usable a JOIN usable b ON a.collection = b.collection AND (a.id <> b.id OR a.chunk_id <> b.chunk_id)),
+best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY collection, a_id, a_chunk ORDER BY c DESC, b_id, b_chunk) <= 5)
+SELECT DISTINCT collection, CASE WHEN (a_id, a_chunk) < (b_id, b_chunk) THEN a_id ELSE b_id END AS id_a, CASE WHEN (a_id, a_chunk) < (b_id, b_chunk) THEN a_chunk ELSE b_chunk END AS chunk_a,
+  CASE WHEN (a_id, a_chunk) < (b_id, b_chunk) THEN b_id ELSE a_id END AS id_b, CASE WHEN (a_id, a_chunk) < (b_id, b_chunk) THEN b_chunk ELSE a_chunk END AS chunk_b
+FROM best WHERE c >= 0.97
+""")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for name, (source, keys, vector) in VECTORS.items():
@@ -75,7 +87,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 CLUSTERED = {"documents": ("documents", ["doc_id"], "title_embedding"), "chunks": ("chunks", ["id", "chunk_id"], "embedding")}
 
 
-@query()
+@query("""
+WITH RECURSIVE items AS (
+  SELECT 'chunks' AS collection, id, chunk_id, any_value(embedding)::DOUBLE[] AS e FROM chunks GROUP BY ALL
+  UNION ALL SELECT 'documents', doc_id, -1, any_value(title_embedding)::DOUBLE[] FROM documents GROUP BY ALL),
+usable AS (SELECT collection, (id, chunk_id) AS k, e FROM items WHERE e IS NOT NULL AND isfinite(list_inner_product(e, e)) AND list_inner_product(e, e) > 0),
+near AS MATERIALIZED (SELECT a.collection, a.k AS x, b.k AS y FROM usable a JOIN usable b ON a.collection = b.collection WHERE list_cosine_similarity(a.e, b.e) >= 0.8),
+reach(collection, x, y) AS (SELECT collection, x, y FROM near UNION SELECT r.collection, r.x, n.y FROM reach r JOIN near n ON r.collection = n.collection AND r.y = n.x),
+label AS (SELECT collection, x, min(y) AS low, count(*) AS size FROM reach GROUP BY collection, x)
+SELECT collection, x[1] AS id, x[2] AS chunk_id, low[1] AS first_id, low[2] AS first_chunk_id FROM label WHERE size >= 5
+""")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for name, (source, keys, vector) in CLUSTERED.items():
@@ -205,7 +226,11 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 # --------------------------------------------------------------- problem 10
 
 
-@query()
+@query("""
+WITH keys AS MATERIALIZED (SELECT DISTINCT doc_id, hash(substring(text, i, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM documents WHERE length(text) >= 250)),
+shared AS (SELECT * FROM keys WHERE h IN (SELECT h FROM keys GROUP BY h HAVING count(*) > 1))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM shared a JOIN shared b ON a.h = b.h AND a.doc_id < b.doc_id
+""")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sharing_pairs(shared_spans(table(spark, folder, "documents"), "doc_id", "text", length=250))
 
