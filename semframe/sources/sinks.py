@@ -26,7 +26,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "error", partition_by: t
 def write_csv(df: DataFrame, path: str, mode: str = "error", header: bool = True) -> None:
     """Nested columns are written as JSON text."""
     flat = [F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(f"`{c}`") for c in df.columns]
-    df.select(*flat).write.mode(mode).option("header", header).csv(path)
+    df.select(*flat).write.mode(mode).option("header", header).option("escape", "\"").csv(path)
 
 
 def document_vectors(df: DataFrame, title: str, text: str, model: Embedding) -> DataFrame:

@@ -21,8 +21,10 @@ def stream_folder(spark: SparkSession, name: str, path: str, schema: T.StructTyp
 
 def windowed_aggregate(relation: Relation, time: str, width: str, late: str, keys: list[str], aggregations: list[Aggregation], slide: str | None = None) -> Relation:
     """Groups of keys in tumbling or sliding windows.  Rows later than ``late``
-    behind the newest are dropped by a stream; a batch keeps all."""
-    rows = relation.df.withWatermark(time, late) if relation.df.isStreaming else relation.df
+    behind the newest are dropped by a stream; a batch keeps all.  A stream's
+    times become timestamps of the session's zone."""
+    rows = relation.df.withColumn(time, quoted(time).cast("timestamp")) if relation.df.isStreaming else relation.df
+    rows = rows.withWatermark(time, late) if relation.df.isStreaming else rows
     window = F.window(quoted(time), width, slide) if slide else F.window(quoted(time), width)
     df = rows.groupBy(window.alias("w"), *[quoted(k) for k in keys]).agg(*[a.column().alias(a.output) for a in aggregations])
     df = df.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[quoted(k) for k in keys], *[quoted(a.output) for a in aggregations])
