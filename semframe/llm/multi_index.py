@@ -129,16 +129,17 @@ def half_distances(matrix: np.ndarray, halves: list[np.ndarray]) -> list[np.ndar
     return [(part**2).sum(1)[:, None] - 2 * part @ c.T + (c**2).sum(1) for part, c in zip((matrix[:, :cut], matrix[:, cut:]), halves)]
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: list[list[int]], wanted: int) -> Iterator[list[tuple[int, int]]]:
+def walk(first: np.ndarray, second: np.ndarray, sizes: list[list[int]], wanted: int, min_cells: int = 1) -> Iterator[list[tuple[int, int]]]:
     """For each row of the distances: the centroid pairs in the order of their
-    summed distance, until the visited cells hold ``wanted`` entries."""
+    summed distance, until the visited cells hold ``wanted`` entries and at
+    least ``min_cells`` of them hold any; a dense cell alone doesn't end it."""
     orders = [np.argsort(d, axis=1, kind="stable") for d in (first, second)]
     values = [np.take_along_axis(d, o, 1).tolist() for d, o in zip((first, second), orders)]
     width = len(sizes[0]) if sizes else 0
     height = len(sizes)
     for o1, o2, d1, d2 in zip(orders[0].tolist(), orders[1].tolist(), values[0], values[1]):
         heap, got, visited = [(d1[0] + d2[0], 0, 0)], 0, []
-        while heap and got < wanted:
+        while heap and (got < wanted or len(visited) < min_cells):
             _, a, b = heapq.heappop(heap)
             n = sizes[o1[a]][o2[b]]
             if n:
@@ -162,13 +163,14 @@ class MultiIndex:
     salts: np.ndarray  # copies of a block's entries, among which its probes are split
     dim: int
     wanted: int
+    min_cells: int
 
     @property
     def blocks(self) -> int:
         return len(self.salts)
 
 
-def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows: int = 64, block_rows: int = 2048, sample: int = 16384, max_half: int = 1024, rounds: int = 8, probes_a_task: int = 50_000, seed: int = 7) -> MultiIndex:
+def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows: int = 64, block_rows: int = 2048, sample: int = 16384, max_half: int = 1024, rounds: int = 8, probes_a_task: int = 50_000, min_cells: int = 8, seed: int = 7) -> MultiIndex:
     """Fit on at most ``sample`` rows, then count the entries of every cell.
 
     Cells are packed into blocks of about ``block_rows`` entries along the
@@ -207,7 +209,7 @@ def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows:
             block, filled = block + int(spread[cell]), 0
         else:
             filled += n
-    index = MultiIndex(halves, sizes.reshape(k, k), first_block.reshape(k, k), spread.reshape(k, k), np.ones(block + 1, np.int64), dim, wanted)
+    index = MultiIndex(halves, sizes.reshape(k, k), first_block.reshape(k, k), spread.reshape(k, k), np.ones(block + 1, np.int64), dim, wanted, min_cells)
     visits = np.zeros(block + 1)
     tried = points[:: max(1, len(points) // 2048)]
     for blocks in _visited(index, tried) if len(tried) else ():
@@ -219,7 +221,7 @@ def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows:
 def _visited(index: MultiIndex, matrix: np.ndarray) -> Iterator[list[int]]:
     first, second = half_distances(matrix, index.halves)
     blocks, spread = index.first_block.tolist(), index.spread.tolist()
-    for cells in walk(first, second, index.sizes.tolist(), index.wanted):
+    for cells in walk(first, second, index.sizes.tolist(), index.wanted, index.min_cells):
         seen: set[int] = set()
         for i, j in cells:
             seen.update(range(blocks[i][j], blocks[i][j] + spread[i][j]))
@@ -305,8 +307,8 @@ def search_blocks(entries: DataFrame, queries: DataFrame, index: MultiIndex, red
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
     slots = int(salts.sum())
-    spark = entries.sparkSession
-    parts = max(1, min(slots, shuffle_partitions(spark) * 2))
+    # about two slots a task, so that a task stays as large as it is at any size
+    parts = max(1, min(slots, max(shuffle_partitions(entries.sparkSession) * 2, -(-slots // 2))))
     return routed.repartition(parts, "slot").sortWithinPartitions("slot", "kind").mapInArrow(search, schema)
 
 

@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- problem 1
 
 VECTORS = {"chunks": ("chunks", ["id", "chunk_id"], "embedding"), "documents": ("documents", ["doc_id"], "text_embedding"), "tables": ("table_vectors", ["table_id"], "embedding")}
-WANTED = 1024
+WANTED = 1024  # entries a walk gathers before it ends
 
 
 def _second_key(df: DataFrame, names: list[str]) -> DataFrame:
@@ -67,7 +67,7 @@ FROM best WHERE c >= 0.97
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for name, (source, keys, vector) in VECTORS.items():
-        pairs = most_similar(table(spark, folder, source), keys, vector, k=5, min_cosine=0.97, wanted=WANTED)
+        pairs = most_similar(table(spark, folder, source), keys, vector, k=5, min_cosine=0.97, wanted=2 * WANTED)
         pairs = pairs.withColumnsRenamed({f"a_{keys[0]}": "id_a", f"b_{keys[0]}": "id_b", "a_chunk_id": "chunk_a", "b_chunk_id": "chunk_b"})
         parts.append(_second_key(pairs, ["chunk_a", "chunk_b"]).select(F.lit(name).alias("collection"), "id_a", "chunk_a", "id_b", "chunk_b"))
     return reduce(DataFrame.union, parts)
@@ -100,7 +100,7 @@ SELECT collection, x[1] AS id, x[2] AS chunk_id, low[1] AS first_id, low[2] AS f
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for name, (source, keys, vector) in CLUSTERED.items():
-        rows = density_clusters(table(spark, folder, source), keys, vector, min_cosine=0.8, min_size=5, wanted=WANTED)
+        rows = density_clusters(table(spark, folder, source), keys, vector, min_cosine=0.8, min_size=5, wanted=WANTED, block_rows=4096)
         rows = rows.withColumnsRenamed({keys[0]: "id", f"first_{keys[0]}": "first_id"})
         parts.append(_second_key(rows, ["chunk_id", "first_chunk_id"]).select(F.lit(name).alias("collection"), "id", "chunk_id", "first_id", "first_chunk_id"))
     return reduce(DataFrame.union, parts)
@@ -110,7 +110,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Size and most typical titles of each cluster of titles."""
     docs = table(spark, folder, "documents")
-    told = describe_clusters(density_clusters(docs, ["doc_id"], "title_embedding", wanted=WANTED), ["doc_id"])
+    told = describe_clusters(density_clusters(docs, ["doc_id"], "title_embedding", wanted=WANTED, block_rows=4096), ["doc_id"])
     titles = docs.select(F.col("doc_id").alias("typical_id"), "title")
     rows = told.select("first_doc_id", "size", F.explode("typical").alias("t")).select("first_doc_id", "size", "t.place", F.col("t.doc_id").alias("typical_id"))
     return rows.join(titles, "typical_id").select("first_doc_id", "size", "place", "typical_id", "title")
