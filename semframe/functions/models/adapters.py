@@ -10,23 +10,23 @@ import json
 import time
 import urllib.error
 import urllib.request
-from functools import lru_cache
 
 import numpy as np
 
 from semframe.functions.models.roles import Embedding, Generator, Validator
+from semframe.memo import memo
 
 _SYSTEM = "Answer with one word, yes or no."
 
 
-@lru_cache(maxsize=4)
+@memo
 def _sentence_model(path: str):
     from sentence_transformers import SentenceTransformer
 
     return SentenceTransformer(path)
 
 
-@lru_cache(maxsize=4)
+@memo
 def _transformer(path: str, causal: bool):
     import torch
     from transformers import AutoModel, AutoModelForCausalLM, AutoTokenizer
