@@ -20,7 +20,7 @@ from semframe.llm.mixing import Mix, mix_sources, token_counts
 from semframe.llm.names import link_names, typed_names
 from semframe.llm.pieces import cut_pieces
 from semframe.llm.shared_spans import shared_share, shared_spans, sharing_pairs
-from semframe.llm.similar_vectors import most_similar
+from semframe.llm.similar_vectors import most_similar, nearest_of
 from semframe.runtime import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+@query()
+def p1_knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors, whatever their cosine, of the rows whose id is
+    divisible by 50, against all rows."""
+    parts = []
+    for name, (source, keys, vector) in VECTORS.items():
+        rows = nearest_of(table(spark, folder, source), keys, vector, every=50, k=5, wanted=32 * WANTED)
+        rows = rows.withColumnsRenamed({keys[0]: "id", f"near_{keys[0]}": "near_id"})
+        parts.append(_second_key(rows, ["chunk_id", "near_chunk_id"]).select(F.lit(name).alias("collection"), "id", "chunk_id", "rank", "near_id", "near_chunk_id", "copies", "cosine"))
+    return reduce(DataFrame.union, parts)
+
+
 # ---------------------------------------------------------------- problem 2
 
 

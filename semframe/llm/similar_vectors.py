@@ -73,6 +73,24 @@ def most_similar(df: DataFrame, keys: list[str], vector: str, k: int = 5, min_co
     return turned.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).select(*[F.col(f"a.a{i}").alias(f"a_{n}") for i, n in enumerate(keys)], *[F.col(f"b.b{i}").alias(f"b_{n}") for i, n in enumerate(keys)], "cosine")
 
 
+def nearest_of(df: DataFrame, keys: list[str], vector: str, every: int = 50, k: int = 5, dim: int = 64, wanted: int = 32768, **fit) -> DataFrame:
+    """``<keys>.., rank, near_<keys>.., copies, cosine``: the ``k`` most similar
+    vectors of the rows whose first key is divisible by ``every``, against all
+    rows.
+
+    A class of identical vectors is one neighbour, told by one of its keys and
+    the number of its rows; a row's own copies are counted by the others of its
+    class, which isn't its own neighbour.  Otherwise as ``most_similar``."""
+    classes = vector_classes(df, keys, vector, dim)
+    ks = [f"k{i}" for i in range(len(keys))]
+    asked = staged(classes.members.where(F.col("k0") % every == 0), "asked")
+    vectors = classes.distinct.join(asked.select("vid").distinct(), "vid", "left_semi").select("vid", "vec")
+    found = class_neighbours(classes, dim, k, -1.0, wanted, staged(vectors, "asked"), **fit)
+    heads = classes.distinct.select(F.col("vid").alias("e"), *[F.col(c).alias(f"near_{n}") for c, n in zip(ks, keys)], F.col("n").alias("copies"))
+    told = found.join(heads, "e").join(asked.withColumnRenamed("vid", "q"), "q")
+    return told.select(*[F.col(c).alias(n) for c, n in zip(ks, keys)], "rank", *[f"near_{n}" for n in keys], "copies", F.col("cosine").cast("double").alias("cosine"))
+
+
 def recall_against_all(df: DataFrame, keys: list[str], vector: str, every: int = 50, k: int = 5, dim: int = 64, wanted: int = 512, **fit) -> dict[str, float]:
     """Share of the true ``k`` best that the index finds, for the rows whose
     first key is divisible by ``every``, against all rows in blocks."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from semframe.llm import queries as Q
 from semframe.llm.density_clusters import density_clusters, describe_clusters, follow
 from semframe.llm.multi_index import as_binary, as_matrix, unit_rows, walk
-from semframe.llm.similar_vectors import most_similar, recall_against_all
+from semframe.llm.similar_vectors import most_similar, nearest_of, recall_against_all
 
 DIM = 8
 
@@ -64,6 +64,19 @@ def test_recall(spark, table):
     assert told["recall"] >= 0.9 and told["queries"] > 20
 
 
+def test_nearest_of(spark, table, vectors):
+    rows = nearest_of(table, ["id", "chunk_id"], "e", every=7, k=4, dim=DIM, wanted=10**6).collect()
+    keys = [(i // 3, i % 3) for i in range(len(vectors))]
+    c = unit(vectors) @ unit(vectors).T
+    np.fill_diagonal(c, -2)
+    asked = {(r.id, r.chunk_id) for r in rows}
+    assert asked == {k for k in keys if k[0] % 7 == 0} | {(k, 0) for k in range(1000, 1009) if k % 7 == 0}
+    for i, k in enumerate(keys):
+        if k in asked and k != (0, 0):
+            mine = sorted((r for r in rows if (r.id, r.chunk_id) == k), key=lambda r: r["rank"])
+            assert [r.cosine for r in mine] == pytest.approx(np.sort(c[i])[::-1][:4].tolist(), abs=1e-5)
+
+
 def test_small_inputs(spark, table):
     none = table.limit(0)
     assert most_similar(none, ["id"], "e", dim=DIM).count() == 0 and density_clusters(none, ["id"], "e", dim=DIM).count() == 0
