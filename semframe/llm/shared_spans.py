@@ -37,11 +37,6 @@ def text_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.join(reps, "mark").select("doc", "rep", "n", F.col("mark.size").alias("size"))
 
 
-def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return hashes & mask, (hashes >> np.uint64(32)) & mask
-
-
 def block_filter(blocks: DataFrame, bits: int) -> np.ndarray:
     """Bits of all block hashes, two a hash, put together on the executors and
     at most ``bits / 8`` bytes in the driver."""
