@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from semframe.memo import memo
 from semframe.operators.components import connected_components
-from semframe.runtime import shuffle_partitions, staged
+from semframe.operators.tiles import pairs_within
+from semframe.runtime import staged
 
 # fixed values: forms of address and what follows a name
 TITLES = frozenset("mr mrs ms miss dr prof sir dame eng gen col maj capt rev hon lord lady jr sr ii iii iv alias phd md esq".split())
@@ -223,12 +224,11 @@ def link_names(df: DataFrame, group: str, key: str, name: str, kind: str, mark:
     little less likeness where they agree; ``place`` and
     ``year`` refute together.
 
-    Suffix blocking: suffixes of at least ``min_suffix`` letters of every token
-    are indexed, forwards and of the mirrored token, refined by a context (the
-    initial beside the token, the line of business).  A block of over
-    ``max_block`` rows is refined further, by the next longer suffix and at the
-    end by the identifying value; what is still too common is compared in the
-    order of the names with the next ``window`` rows, so nothing is dropped.
+    Suffix blocking: the last ``min_suffix`` letters of every token are indexed,
+    forwards and of the mirrored token, refined by a context (the initial beside
+    the token, the line of business).  All rows of a block are compared, however
+    many they are: a block of over ``max_block * window`` rows is cut into tiles
+    of that size, and all pairs of tiles meet.
     Pairs are compared by the ratio of the longest common subsequence, token by
     token.  Links are closed transitively.
 
@@ -256,43 +256,15 @@ def link_names(df: DataFrame, group: str, key: str, name: str, kind: str, mark:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            out = [(r["g"], side, token, context, r["mark"], r["core"] + r["rest"], r["node"]) for r in rows for side, token, context in block_keys(r, min_suffix)]
+            out = [(r["g"], side, token, context, r["mark"], r["node"]) for r in rows for side, token, context in block_keys(r, min_suffix)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string()] * 6 + [pa.int64()])], names=["g", "side", "token", "context", "mark", "line", "node"])
-
-    left = staged(nodes.select("g", "kind", "core", "rest", "mark", "node").mapInArrow(keys, "g string, side string, token string, context string, mark string, line string, node long"), "keys")
-    pairs: list[DataFrame] = []
-    deepest = min_suffix + 6
-    for length in [*range(min_suffix, deepest + 1, 2), None]:
-        refined = [F.col("mark")] if length is None else []
-        suffix = F.col("token") if length is None or length == deepest else F.substring("token", -length, length)
-        now = left.withColumn("block", F.xxhash64("g", "side", "context", suffix, *refined))
-        sizes = now.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        now = staged(now.join(sizes, "block"), "blocks")
-        few = now.where(F.col("size") <= max_block).select("block", "node")
-        pairs.append(few.join(few.withColumnRenamed("node", "other"), "block").where("node < other").select("node", "other"))
-        left = now.where(F.col("size") > max_block).drop("block", "size")
-        if not left.limit(1).count():
-            break
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple[int, int]] = []
-        for batch in batches:
-            a, b = [], []
-            for block, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for other_block, other in last:
-                    if other_block == block and other != node:
-                        a.append(min(node, other)), b.append(max(node, other))
-                last = [*last[-window + 1 :], (block, node)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "other"])
-
-    lined = left.select(F.xxhash64("g", "side", "context", "token").alias("block"), "node", "line")
-    lined = lined.repartitionByRange(max(1, shuffle_partitions(df.sparkSession)), "block", "line").sortWithinPartitions("block", "line", "node")
-    pairs.append(lined.select("block", "node").mapInArrow(neighbours, "node long, other long"))
-    candidates = pairs[0]
-    for more in pairs[1:]:
-        candidates = candidates.union(more)
-    candidates = candidates.distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string()] * 5 + [pa.int64()])], names=["g", "side", "token", "context", "mark", "node"])
+
+    indexed = staged(nodes.select("g", "kind", "core", "rest", "mark", "node").mapInArrow(keys, "g string, side string, token string, context string, mark string, node long"), "keys")
+    blocks = indexed.select(F.xxhash64("g", "side", "context", F.substring("token", -min_suffix, min_suffix)).alias("block"), "node", F.nullif("mark", F.lit("")).alias("mark"))
+    met = pairs_within(staged(blocks, "blocks"), "block", "node", max_block * window, ("mark",))
+    # marks that differ refute a pair whatever the names are
+    candidates = met.where("mark is null or other_mark is null or mark = other_mark").select("node", "other").distinct()
 
     features = ("kind", "core", "rest", "mark", "place", "year")
     side_a = nodes.select("node", F.struct(*features).alias("a"))

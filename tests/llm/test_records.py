@@ -10,6 +10,7 @@ from semframe.llm import queries as Q
 from semframe.llm.listings import features, parsed_listings, price_of, refuted, same_listings, star_clusters, tokens
 from semframe.llm.matching import bit_vector, calibration, dice, hamming_pairs, match_products, match_songs, released, seconds, song, song_pair, title_of
 from semframe.llm.names import alike, block_keys, common_word, link_names, parse, person_tokens, same_person
+from semframe.operators.tiles import pairs_within
 
 # ------------------------------------------------------------------- problem 2
 
@@ -53,6 +54,21 @@ def test_a_name_that_many_share(spark):
     assert ("k0000", "x") in got and len(got) == 300  # a star and one link
 
 
+def test_common_blocks_are_compared_completely(spark):
+    """Two spellings that share the last four letters only, in a block of many."""
+    r = random.Random(3)
+    crowd = ["".join(r.choice("bcdfgklmnpstvz") + r.choice("aeiou") for _ in range(3)) + r.choice("bdfgklmn") + "erikh" for _ in range(400)]
+    df = names_frame(spark, [(f"c{i:03}", f"Olga {c.title()}", "p") for i, c in enumerate(dict.fromkeys(crowd))] + [("x", "Olga Hisazefoserikh", "p"), ("y", "O. Hsiazefoferikh", "p")])
+    assert ("x", "y") in linked(df) and ("x", "y") in linked(df, max_block=5, window=2)
+
+
+def test_pairs_within_blocks(spark):
+    rows = [(b, i, str(i)) for b, n in ((1, 1), (2, 40), (3, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "block int, item int, word string")
+    got = [tuple(x) for x in pairs_within(df, "block", "item", 7, ("word",)).select("block", "item", "other", "word", "other_word").collect()]
+    assert sorted(got) == [(b, i, j, str(i), str(j)) for b, n in ((2, 40), (3, 2)) for i in range(n) for j in range(i + 1, n)]
+
+
 def test_name_parts():
     assert person_tokens("Mr Anna-Maria O. Smith Jr.") == ["anna", "maria", "o.", "smith"] and person_tokens("SMITH, J.K.") == ["j.", "k.", "smith"]
     assert person_tokens("Banattaroler GT") == ["banattaroler", "g.", "t."] and person_tokens("Lageneleth, Nacho") == ["ignacio", "lageneleth"]
