@@ -215,7 +215,7 @@ def calibration(scored: DataFrame, bins: int = 50) -> list[float]:
     return found.tolist()
 
 
-def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: str, columns: list[str], describe: Callable[[dict], dict], codes: Callable[[dict], list[dict[str, str]]], compare: Callable[[dict, dict], tuple[float, bool]], buckets: Callable[[dict, bool], list[str]] | None = None, min_confidence: float = 0.5, expand: int = 64) -> DataFrame:
+def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: str, columns: list[str], describe: Callable[[dict], dict], codes: Callable[[dict], list[dict[str, str]]], compare: Callable[[dict, dict], tuple[float, bool]], buckets: Callable[[dict, bool], list[str]] | None = None, min_confidence: float = 0.5, expand: int | None = 64, tile: int = 512) -> DataFrame:
     """``left_key, right_key, score, confidence`` of rows that mean the same.
 
     ``describe`` turns a row (the given columns) into attributes (numbers whose
@@ -228,8 +228,10 @@ def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: s
     a pair and whether stated values refute it; scores become confidences by
     ``calibration``.
 
-    Rows that say the same are compared once; of more than ``expand`` such rows
-    the smallest key stands for the others.  Defined results: null keys and
+    Rows that say the same are compared once and all of them are matched, in
+    salted tiles of ``tile`` keys; of more than ``expand`` rows with one and the
+    same text the smallest key stands for the others, of any number none does if
+    ``expand`` is None.  Defined results: null keys and
     rows whose encoded attributes are all missing match nothing; repeated rows
     of a key count once (the largest values); empty in, empty out; other
     columns are ignored.
@@ -249,12 +251,19 @@ def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: s
                     loose.append([(k, float(v)) for k, v in f.items() if k[0] == "~" and v is not None])
                     bits.append([np.packbits(bit_vector(c)).view(np.int64).tolist() for c in codes(f)])
                     own.append(buckets(f, is_left) if buckets else [""])
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(said, pa.string()), pa.array(loose, pa.map_(pa.string(), pa.float64())), pa.array(bits, pa.list_(pa.list_(pa.int64()))), pa.array(own, pa.list_(pa.string()))], names=["key", "said", "loose", "codes", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), pa.array(said, pa.string()), pa.array(loose, pa.map_(pa.string(), pa.float64())), pa.array(bits, pa.list_(pa.list_(pa.int64()))), pa.array(own, pa.list_(pa.string()))], names=["key", "text", "said", "loose", "codes", "buckets"])
 
-        encoded = staged(rows.mapInArrow(encode, "key long, said string, loose map<string,double>, codes array<array<long>>, buckets array<string>"), "encoded")
+        rows = rows.withColumn("text", F.md5(F.to_json(F.struct(*columns))))
+        encoded = staged(rows.mapInArrow(encode, "key long, text string, said string, loose map<string,double>, codes array<array<long>>, buckets array<string>"), "encoded")
         groups = staged(encoded.groupBy("said").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n"), F.max(F.struct(F.try_element_at(F.map_values("loose"), F.lit(1)).alias("most"), F.to_json("loose").alias("loose"))).alias("l"), F.first("codes").alias("codes"), F.first("buckets").alias("buckets")), "encoded")
         groups = groups.withColumn("loose", F.col("l.loose")).drop("l")
-        members = encoded.select("key", "said").join(groups.select("said", "id", "n"), "said").where((F.col("n") <= expand) | (F.col("key") == F.col("id"))).select("id", "key")
+        members = encoded.select("key", "text", "said")
+        if expand is not None:
+            texts = members.groupBy("said", "text").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"))
+            members = members.join(texts, ["said", "text"]).where((F.col("copies") <= expand) | (F.col("key") == F.col("first")))
+        tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+        members = members.join(groups.select("said", "id", "n"), "said").select("id", "key", F.pmod(F.xxhash64("key"), tiles).cast("int").alias("tile"))
+        groups = groups.withColumn("tiles", tiles)
         return groups, members
 
     (a, a_members), (b, b_members) = side(left, left_key, True), side(right, right_key, False)
@@ -278,13 +287,17 @@ def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: s
     known = calibration(scored)
     bin_ = F.least(F.floor(F.col("score") * len(known)), F.lit(len(known) - 1)).cast("int")
     kept = scored.where("not refuted").withColumn("confidence", F.array(*[F.lit(c) for c in known])[bin_]).where(F.col("confidence") >= min_confidence)
-    rows = kept.join(a_members.select(F.col("id").alias("a"), F.col("key").alias("left_key")), "a").join(b_members.select(F.col("id").alias("b"), F.col("key").alias("right_key")), "b")
+    # every tile of a class meets every tile of the other
+    for name, groups in (("a", a), ("b", b)):
+        kept = kept.join(groups.select(F.col("id").alias(name), "tiles"), name).withColumn(f"{name}_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    rows = kept.join(a_members.select(F.col("id").alias("a"), F.col("tile").alias("a_tile"), F.col("key").alias("left_key")), ["a", "a_tile"])
+    rows = rows.join(b_members.select(F.col("id").alias("b"), F.col("tile").alias("b_tile"), F.col("key").alias("right_key")), ["b", "b_tile"])
     return rows.select("left_key", "right_key", "score", "confidence")
 
 
-def match_songs(left: DataFrame, right: DataFrame) -> DataFrame:
-    return match_records(left, "sno_left", right, "sno_right", ["album_name", "artist_name", "released", "song_name", "track_time"], song, song_codes, song_pair, song_buckets)
+def match_songs(left: DataFrame, right: DataFrame, expand: int | None = 64) -> DataFrame:
+    return match_records(left, "sno_left", right, "sno_right", ["album_name", "artist_name", "released", "song_name", "track_time"], song, song_codes, song_pair, song_buckets, expand=expand)
 
 
-def match_products(left: DataFrame, right: DataFrame) -> DataFrame:
-    return match_records(left, "id_abt", right, "id_buy", ["name", "description", "price"], product, product_codes, product_pair)
+def match_products(left: DataFrame, right: DataFrame, expand: int | None = 64) -> DataFrame:
+    return match_records(left, "id_abt", right, "id_buy", ["name", "description", "price"], product, product_codes, product_pair, expand=expand)

@@ -172,8 +172,8 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, folder: str) -> DataFrame:
-    songs = match_songs(table(spark, folder, "songs_left"), table(spark, folder, "songs_right"))
-    products = match_products(table(spark, folder, "abt_products"), table(spark, folder, "buy_products"))
+    songs = match_songs(table(spark, folder, "songs_left"), table(spark, folder, "songs_right"), expand=None)
+    products = match_products(table(spark, folder, "abt_products"), table(spark, folder, "buy_products"), expand=None)
     return songs.select(F.lit("songs").alias("kind"), *songs.columns).union(products.select(F.lit("products"), *products.columns))
 
 

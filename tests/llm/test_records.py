@@ -8,7 +8,7 @@ import pytest
 
 from semframe.llm import queries as Q
 from semframe.llm.listings import features, parsed_listings, price_of, refuted, same_listings, star_clusters, tokens
-from semframe.llm.matching import bit_vector, calibration, dice, hamming_pairs, match_products, match_songs, released, seconds, song, song_pair, title_of
+from semframe.llm.matching import bit_vector, calibration, dice, hamming_pairs, match_products, match_records, match_songs, released, seconds, song, song_buckets, song_codes, song_pair, title_of
 from semframe.llm.names import alike, block_keys, common_word, link_names, parse, person_tokens, same_person
 from semframe.operators.tiles import pairs_within
 
@@ -158,6 +158,22 @@ def test_songs_that_many_rows_tell(spark):
     assert match_songs(few, songs(spark, SONGS_R, "sno_right")).count() == 20
 
 
+def test_every_row_of_a_common_song_is_matched(spark):
+    left = songs(spark, [(i, *SONGS_L[0][1:3], SONGS_L[0][3], "Almost" + " " * (i + 1) + "North Few", SONGS_L[0][5]) for i in range(90)], "sno_left")
+    right = songs(spark, [SONGS_R[0]] + [(200 + i, *SONGS_R[0][1:4], "almost North" + " " * (i + 1) + "few", SONGS_R[0][5]) for i in range(70)], "sno_right")
+    got = {(r.left_key, r.right_key) for r in match_songs(left, right).collect()}
+    assert got == {(i, j) for i in range(90) for j in [11, *range(200, 270)]}
+
+
+def test_every_copy_is_matched_where_asked(spark):
+    left = songs(spark, [(i, *SONGS_L[0][1:]) for i in range(90)], "sno_left")
+    right = songs(spark, [(200 + i, *SONGS_R[0][1:]) for i in range(70)], "sno_right")
+    assert match_songs(left, right, expand=None).distinct().count() == 90 * 70
+    columns = ["album_name", "artist_name", "released", "song_name", "track_time"]
+    tiled = match_records(left, "sno_left", right, "sno_right", columns, song, song_codes, song_pair, song_buckets, expand=None, tile=8)
+    assert tiled.count() == tiled.distinct().count() == 90 * 70
+
+
 def test_products(spark):
     a, b = offers(spark, OFFERS, "id_abt"), offers(spark, [(r[0] + 100, *r[1:]) for r in OFFERS], "id_buy")
     got = {(r.left_key, r.right_key) for r in match_products(a, b).collect()}
