@@ -230,7 +230,8 @@ def link_names(df: DataFrame, group: str, key: str, name: str, kind: str, mark:
     many they are: a block of over ``max_block * window`` rows is cut into tiles
     of that size, and all pairs of tiles meet.
     Pairs are compared by the ratio of the longest common subsequence, token by
-    token.  Links are closed transitively.
+    token.  Links are closed transitively: all keys of an entity are paired,
+    however many they are.
 
     Rows that agree in all parsed values are one class: members of a class of
     at most ``expand`` are all paired, larger ones with the first member only.
@@ -279,16 +280,11 @@ def link_names(df: DataFrame, group: str, key: str, name: str, kind: str, mark:
     whole = connected_components(links, "node", "other").withColumnRenamed("label", "entity")
     placed = staged(members.join(whole, "node", "left").select("g", "key", "node", "n", F.coalesce("entity", "node").alias("entity")), "linked")
     first = placed.groupBy("g", "entity", "node").agg(F.min("key").alias("rep"))
-    heads = placed.join(first.select("node", "rep"), "node").where((F.col("n") <= expand) | (F.col("key") == F.col("rep")))
-    counts = heads.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
-    heads = heads.join(counts.where(f"m > 1 and m <= {expand * 4}"), "entity").select("g", "entity", "key")
-    both = heads.join(heads.select("entity", F.col("key").alias("other")), "entity").where("key < other").select("g", F.col("key").alias("x"), F.col("other").alias("y"))
-    # larger entities and classes: direct links and stars only
-    big = links.join(whole, "node").join(counts.where(f"m > {expand * 4}"), "entity").select("node", "other")
-    reps = first.select("node", "g", "rep")
-    direct = big.join(reps, "node").join(reps.select(F.col("node").alias("other"), F.col("rep").alias("rep2")), "other").select("g", F.col("rep").alias("x"), F.col("rep2").alias("y"))
+    heads = staged(placed.join(first.select("node", "rep"), "node").where((F.col("n") <= expand) | (F.col("key") == F.col("rep"))).select("g", "entity", "key"), "heads")
+    both = pairs_within(heads, "entity", "key", max_block * window, ("g",)).select("g", F.col("key").alias("x"), F.col("other").alias("y"))
+    # larger classes: stars only
     star = placed.where(F.col("n") > expand).join(first.select("node", "rep"), "node").where("key <> rep").select("g", F.col("rep").alias("x"), F.col("key").alias("y"))
-    return both.union(direct).union(star).select(F.col("g").alias("group"), F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    return both.union(star).select(F.col("g").alias("group"), F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def typed_names(entity: DataFrame, companies: DataFrame, songs: list[DataFrame]) -> DataFrame:

@@ -69,6 +69,11 @@ def test_pairs_within_blocks(spark):
     assert sorted(got) == [(b, i, j, str(i), str(j)) for b, n in ((2, 40), (3, 2)) for i in range(n) for j in range(i + 1, n)]
 
 
+def test_large_entities_are_paired_completely(spark):
+    df = names_frame(spark, [(f"{c}{i}", f"Frederick {c.upper()}. Hisazefosk", "p") for c in "abcde" for i in (1, 2)])
+    assert linked(df, expand=2) == linked(df) == pairs([" ".join(f"{c}{i}" for c in "abcde" for i in (1, 2))])
+
+
 def test_name_parts():
     assert person_tokens("Mr Anna-Maria O. Smith Jr.") == ["anna", "maria", "o.", "smith"] and person_tokens("SMITH, J.K.") == ["j.", "k.", "smith"]
     assert person_tokens("Banattaroler GT") == ["banattaroler", "g.", "t."] and person_tokens("Lageneleth, Nacho") == ["ignacio", "lageneleth"]
