@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from semframe.llm.names import alike, folded, spelled_alike
 from semframe.memo import memo
+from semframe.operators.tiles import pairs_within
 from semframe.runtime import staged
 
 # fixed values: colours, their short forms and their usual shades
@@ -130,18 +131,18 @@ FEATURES = "struct<brand:string,models:array<string>,sizes:array<struct<kind:str
 
 
 def parsed_listings(df: DataFrame, key: str) -> DataFrame:
-    """``id, f, tokens`` of each listing; a repeated key counts once."""
+    """``id, text, f, tokens`` of each listing; a repeated key counts once."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col("name").cast("string"), F.col("description").cast("string"), F.col("price").cast("string")).where("id is not null")
-    rows = rows.groupBy("id").agg(F.max(F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("description", F.lit("")).alias("description"), "price")).alias("r")).select("id", "r.*")
+    rows = rows.groupBy("id").agg(F.max(F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("description", F.lit("")).alias("description"), "price")).alias("r")).select("id", "r.*", F.md5(F.to_json("r")).alias("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("brand", pa.string()), ("models", pa.list_(pa.string())), ("sizes", pa.list_(pa.struct([("kind", pa.string()), ("value", pa.float64())]))), ("colour", pa.string()), ("kind", pa.string()), ("accessory", pa.string()), ("price", pa.float64())])
         for batch in batches:
             found = [features(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("name", "description", "price")))]
             told = [f | {"sizes": [{"kind": k, "value": v} for k, v in f["sizes"]]} for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(told, kind), pa.array([tokens(f) for f in found], pa.list_(pa.string()))], names=["id", "f", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(told, kind), pa.array([tokens(f) for f in found], pa.list_(pa.string()))], names=["id", "text", "f", "tokens"])
 
-    return rows.mapInArrow(parse, f"id long, f {FEATURES}, tokens array<string>")
+    return rows.mapInArrow(parse, f"id long, text string, f {FEATURES}, tokens array<string>")
 
 
 def _plain(f: dict) -> dict:
@@ -169,7 +170,7 @@ def star_clusters(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("stars did not settle")
 
 
-def same_listings(listings: list[tuple[DataFrame, str]], containment: float = 0.5, expand: int = 64) -> DataFrame:
+def same_listings(listings: list[tuple[DataFrame, str]], containment: float = 0.5, expand: int = 64, tile: int = 512) -> DataFrame:
     """``id_a, id_b``: listings of one product, within and across tables.
 
     ``listings`` are tables with ``name, description, price`` and the name of
@@ -186,8 +187,10 @@ def same_listings(listings: list[tuple[DataFrame, str]], containment: float = 0.
     sides, brand, kind, colour and size must agree and prices be within 12 per
     cent.  Star clustering then groups listings.
 
-    Listings that say exactly the same are one class (paired among themselves
-    up to ``expand`` members, beyond that with the first).  Defined results:
+    Listings that say the same are one class and compared once; all of a star are
+    paired, in salted tiles of ``tile`` listings.  Only copies of one text (name,
+    description and price) are, beyond ``expand`` of them, paired with the first
+    of them, which stands for them elsewhere.  Defined results:
     null or empty names and descriptions give few or no tokens and no pair;
     prices that are no numbers are missing; repeated rows of an id count once;
     empty in, empty out; other columns are ignored.
@@ -200,8 +203,9 @@ def same_listings(listings: list[tuple[DataFrame, str]], containment: float = 0.
     # a model tells the product, so its listings differ by price only within a class
     said = F.to_json(F.col("f").withField("price", F.when(F.size("f.models") == 0, F.col("f.price"))))
     told = parsed.where(F.size("tokens") > 0).withColumn("said", said)
-    reps = staged(told.groupBy("said").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("f.price").alias("price")), "listings")
-    members = told.select("id", "said").join(reps, "said").select("id", "rep", "n")
+    reps = staged(told.groupBy("said").agg(F.min("id").alias("rep"), F.max("f.price").alias("price")), "listings")
+    copies = told.groupBy("said", "text").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    members = told.select("id", "said", "text").join(copies, ["said", "text"]).join(reps, "said").select("id", "rep", "first", "n")
     heads = parsed.join(reps.select(F.col("rep").alias("id"), F.col("price").alias("most")), "id")
     heads = staged(heads.select("id", F.col("f").withField("price", F.col("most")).alias("f"), "tokens"), "listings")
     exploded = heads.select("id", F.explode("tokens").alias("token"))
@@ -243,8 +247,8 @@ def same_listings(listings: list[tuple[DataFrame, str]], containment: float = 0.
 
     links = staged(both.select("a", "b", "fa", "fb", "wa", "wb").mapInArrow(verify, "a long, b long"), "links")
     stars = star_clusters(links.union(links.select("b", "a")))
-    placed = staged(members.join(stars, members.rep == stars.node, "left").select("id", "rep", "n", F.coalesce("star", "rep").alias("star")), "groups")
-    shown = placed.where((F.col("n") <= expand) | (F.col("id") == F.col("rep"))).select("id", "star")
-    inside = shown.join(shown.select(F.col("id").alias("other"), "star"), "star").where("id < other").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
-    rest = placed.where((F.col("n") > expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    placed = staged(members.join(stars, members.rep == stars.node, "left").select("id", "first", "n", F.coalesce("star", "rep").alias("star")), "groups")
+    shown = placed.where((F.col("n") <= expand) | (F.col("id") == F.col("first"))).select("id", "star")
+    inside = pairs_within(staged(shown, "groups"), "star", "id", tile).select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
+    rest = placed.where((F.col("n") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
     return inside.union(rest).distinct()

@@ -113,6 +113,14 @@ def test_listings(spark):
     assert same_listings([(many, "id_x")], expand=10).count() == 99
 
 
+def test_listings_of_a_popular_product_are_all_paired(spark):
+    rows = [(i, OFFERS[0][1], f"made by Siritonoth; ships in {i} days", f"USD {300 + i}") for i in range(1, 31)] + [(i, *OFFERS[0][1:]) for i in range(31, 51)]
+    # 30 texts and the first of 20 copies in full, the other copies with that first
+    want = set(itertools.combinations(range(1, 32), 2)) | {(31, i) for i in range(32, 51)}
+    for options in ({}, {"tile": 8}):
+        assert {(r.id_a, r.id_b) for r in same_listings([(offers(spark, rows), "id_x")], expand=10, **options).collect()} == want
+
+
 def test_listing_join_is_brute_force(spark):
     r = random.Random(4)
     rows = []
