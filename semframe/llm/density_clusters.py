@@ -24,18 +24,58 @@ def follow(pointers: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("pointers did not settle")
 
 
-def density_clusters(df: DataFrame, keys: list[str], vector: str, min_cosine: float = 0.8, min_size: int = 5, dim: int = 64, wanted: int = 1024, near: int = 12, **fit) -> DataFrame:
-    """``<keys>.., first_<keys>.., size, density, peak`` of each clustered row.
+class Links:
+    """What a block tells of one slice of queries after the other: the number
+    of entries within the radius, the nearest of them, and which entries and
+    queries are linked, directly or through others of the block.
 
-    Density peaks through blocked neighbour joins over the cells of a
+    ``root`` holds for each entry of the block the first entry it is known to
+    be linked with.  Links come out as a forest, at most one row a query and one
+    for each two groups that meet, never as pairs of vectors.
+    """
+
+    def __init__(self, least: float, near: int):
+        self.least, self.near, self.eids, self.root = np.float32(least), near, None, None
+
+    def __call__(self, cosines, qids, eids, mask):
+        if self.eids is not eids:
+            self.eids, self.root = eids, np.arange(len(eids))
+        hit = (cosines >= self.least) & mask
+        within = hit.sum(1)
+        some = np.flatnonzero(within)
+        r, c = best_pairs(cosines[some], mask[some], self.near, float(self.least))
+        columns = np.flatnonzero(hit.any(0))
+        met, before, far = hit[np.ix_(some, columns)], self.root, len(eids)
+        lows = np.zeros(0, np.int64)
+        while len(some):
+            lows = np.where(met, self.root[columns], far).min(1)
+            low = np.full(far, far)
+            np.minimum.at(low, self.root[columns], np.where(met, lows[:, None], far).min(0))
+            moved = np.minimum(self.root, low[self.root])
+            if (moved == self.root).all():
+                break
+            self.root = moved
+        old = np.flatnonzero((before == np.arange(far)) & (self.root != before))
+        kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(some), len(r), len(some) + len(old)])
+        q = np.concatenate([qids[some], qids[some[r]], qids[some], eids[old]])
+        e = np.concatenate([qids[some], eids[c], eids[lows], eids[self.root[old]]])
+        return [kinds, q, e, np.concatenate([within[some].astype(np.float64), cosines[some[r], c].astype(np.float64), np.ones(len(some) + len(old))])]
+
+
+def density_clusters(df: DataFrame, keys: list[str], vector: str, min_cosine: float = 0.8, min_size: int = 5, dim: int = 64, wanted: int = 1024, near: int = 8, **fit) -> DataFrame:
+    """``<keys>.., first_<keys>.., size, density, distance, peak`` of each
+    clustered row.
+
+    Density peaks through one blocked neighbour join over the cells of a
     multi-index.  The local density of a vector is the number of vectors within
     ``min_cosine`` of it in the blocks it visits; it points at its most similar
-    denser neighbour within that radius (ties in density: the smaller id), and
-    a vector without one is a peak.  Pointers lead to basins; basins with a
-    link of at least ``min_cosine`` between them belong to one cluster, found
-    by a second join of the clustered vectors that emits one row for each pair
-    of basins a block connects, never the pairs of vectors.  A cluster is kept
-    if it has ``min_size`` rows.
+    denser neighbour (ties in density: the smaller id), ``distance`` being one
+    less their cosine.  A vector whose nearest denser neighbour is farther than
+    the radius is a peak and has no distance.  Pointers are followed to the
+    peaks, which are the labels of basins.  A cluster is a maximal set of
+    vectors linked at ``min_cosine``, so basins with a link between them are
+    one: the same join emits the links of a block as a forest.  A cluster is
+    kept if it has ``min_size`` rows.
 
     ``first_..`` is the smallest key of the cluster, ``peak`` marks the rows of
     its densest vector.  Defined results: unusable vectors and null keys are in
@@ -47,51 +87,30 @@ def density_clusters(df: DataFrame, keys: list[str], vector: str, min_cosine: fl
     ks = [f"k{i}" for i in range(len(keys))]
     index = fit_index(classes.distinct, classes.rows, dim, wanted, **fit)
     entries = classes.distinct.select("vid", "vec")
-    least = np.float32(min_cosine)
-
-    def around(cosines, qids, _, eids, __, mask):
-        within = ((cosines >= least) & mask).sum(1)
-        r, c = best_pairs(cosines, mask, near, float(least))
-        some = np.flatnonzero(within)
-        return [np.concatenate([qids[r], qids[some]]), np.concatenate([eids[c], np.full(len(some), -1)]), np.concatenate([cosines[r, c].astype(np.float64), within[some]])]
-
-    found = staged(search_blocks(entries, entries, index, around, "q long, e long, value double"), "around")
-    density = found.where("e < 0").groupBy("q").agg(F.sum("value").cast("long").alias("density"))
-    links = found.where("e >= 0").groupBy("q", "e").agg(F.max("value").alias("cosine"))
+    found = staged(search_blocks(entries, entries, index, Links(min_cosine, near), "kind byte, q long, e long, value double"), "around")
+    density = found.where("kind = 0").groupBy("q").agg(F.sum("value").cast("long").alias("density"))
+    links = found.where("kind = 1").groupBy("q", "e").agg(F.max("value").alias("cosine"))
+    ties = found.where("kind = 2 and q <> e").select("q", "e").distinct()
     other = density.select(F.col("q").alias("e"), F.col("density").alias("theirs"))
     denser = links.join(density, "q").join(other, "e", "left").withColumn("theirs", F.coalesce("theirs", F.lit(0)))
     up = denser.where("theirs > density or theirs = density and e < q").groupBy("q").agg(F.max(F.struct("cosine", -F.col("e"))).alias("best"))
-    up = up.select(F.col("q").alias("vid"), (-F.col("best.col2")).alias("up"))
-    every = density.select(F.col("q").alias("vid"), "density").union(links.select("e", F.lit(0))).groupBy("vid").agg(F.max("density").alias("density"))
-    every = staged(every.join(up, "vid", "left").select("vid", "density", F.coalesce("up", "vid").alias("up")), "density")
-    basins = staged(follow(every).join(classes.distinct.select("vid", "vec", "n"), "vid"), "basins")
-
-    def across(cosines, qids, qx, eids, ex, mask):
-        # rows and columns of one label side by side, so one bit a label is left
-        r, c = np.argsort(qx, kind="stable"), np.argsort(ex, kind="stable")
-        a, at = np.unique(qx[r], return_index=True)
-        b, to = np.unique(ex[c], return_index=True)
-        met = np.maximum.reduceat(np.maximum.reduceat(cosines[:, c], to, axis=1)[r], at, axis=0) >= least
-        i, j = np.nonzero(met & (a[:, None] != b[None, :]))
-        return [a[i], b[j]]
-
-    clustered = basins.select("vid", "vec", F.col("label").alias("x"))
-    bridges = search_blocks(clustered, clustered, index, across, "a long, b long", extra=True)
-    own = every.select("vid", F.col("up")).join(links.select(F.col("q").alias("vid"), "e"), "vid")
-    labels = basins.select("vid", "label")
-    direct = own.join(labels.select("vid", F.col("label").alias("a")), "vid").join(labels.select(F.col("vid").alias("e"), F.col("label").alias("b")), "e").where("a <> b").select("a", "b")
-    merged = connected_components(bridges.union(direct).distinct())
-    final = basins.join(merged.withColumnRenamed("label", "whole"), basins.label == merged.node, "left").select("vid", "n", F.coalesce("whole", "label").alias("cluster"))
-    final = final.join(every.select("vid", "density"), "vid")
+    up = up.select(F.col("q").alias("vid"), (-F.col("best.col2")).alias("up"), (1 - F.col("best.cosine")).alias("distance"))
+    every = density.select(F.col("q").alias("vid"), "density").union(found.where("kind > 0").select("e", F.lit(0))).groupBy("vid").agg(F.max("density").alias("density"))
+    every = staged(every.join(up, "vid", "left").select("vid", "density", "distance", F.coalesce("up", "vid").alias("up")), "density")
+    labels = staged(follow(every), "basins")
+    across = ties.join(labels.select(F.col("vid").alias("q"), F.col("label").alias("a")), "q").join(labels.select(F.col("vid").alias("e"), F.col("label").alias("b")), "e").where("a <> b")
+    merged = connected_components(across.select("a", "b").distinct())
+    final = labels.join(merged.withColumnRenamed("label", "whole"), labels.label == merged.node, "left").select("vid", F.coalesce("whole", "label").alias("cluster"))
+    final = final.join(every.select("vid", "density", "distance"), "vid").join(classes.distinct.select("vid", "n"), "vid").select("vid", "n", "cluster", "density", "distance")
     # copies of a vector outside every link are a cluster of their own
-    copies = classes.distinct.where("n > 1").select("vid", "n").join(final.select("vid"), "vid", "left_anti").select("vid", "n", F.col("vid").alias("cluster"), F.lit(0).alias("density"))
+    copies = classes.distinct.where("n > 1").select("vid", "n").join(final.select("vid"), "vid", "left_anti").select("vid", "n", F.col("vid").alias("cluster"), F.lit(0).alias("density"), F.lit(None).cast("double").alias("distance"))
     final = final.union(copies)
     sizes = final.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("density", -F.col("vid"))).alias("top")).where(F.col("size") >= min_size)
-    placed = staged(final.join(sizes, "cluster").select("vid", "cluster", "size", "density", (F.col("vid") == -F.col("top.col2")).alias("peak")), "clusters")
+    placed = staged(final.join(sizes, "cluster").select("vid", "cluster", "size", "density", "distance", (F.col("vid") == -F.col("top.col2")).alias("peak")), "clusters")
     rows = classes.members.join(placed, "vid")
     firsts = rows.groupBy("cluster").agg(F.min(F.struct(*ks)).alias("first"))
     rows = rows.join(firsts, "cluster")
-    return rows.select(*[F.col(k).alias(n) for k, n in zip(ks, keys)], *[F.col(f"first.{k}").alias(f"first_{n}") for k, n in zip(ks, keys)], "size", "density", "peak")
+    return rows.select(*[F.col(k).alias(n) for k, n in zip(ks, keys)], *[F.col(f"first.{k}").alias(f"first_{n}") for k, n in zip(ks, keys)], "size", "density", "distance", "peak")
 
 
 def describe_clusters(members: DataFrame, keys: list[str], top: int = 3) -> DataFrame:

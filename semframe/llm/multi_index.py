@@ -228,20 +228,20 @@ def _visited(index: MultiIndex, matrix: np.ndarray) -> Iterator[list[int]]:
         yield sorted(seen)
 
 
-Reducer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
+Reducer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def search_blocks(entries: DataFrame, queries: DataFrame, index: MultiIndex, reducer: Reducer, schema: str, extra: bool = False) -> DataFrame:
+def search_blocks(entries: DataFrame, queries: DataFrame, index: MultiIndex, reducer: Reducer, schema: str) -> DataFrame:
     """Send each query to the blocks its walk visits and reduce each block.
 
-    ``entries`` and ``queries`` have ``vid, vec`` and, with ``extra``, a long
-    column ``x``.  ``reducer(C, query ids, query x, entry ids, entry x, pair
-    mask)`` gets the cosines of a slice of queries against one block and
-    returns the output columns.  Entries of a block are bounded, queries stream
-    through in Arrow batches.
+    ``entries`` and ``queries`` have ``vid, vec``.  ``reducer(C, query ids,
+    entry ids, pair mask)`` gets the cosines of a slice of queries against one
+    block and returns the output columns; all slices of a block come one after
+    the other with one and the same array of entry ids.  Entries of a block are
+    bounded, queries stream through in Arrow batches.
     """
     dim, salts, shared = index.dim, index.salts, entries is queries
-    fields = "slot int, kind byte, vid long, x long, vec binary"
+    fields = "slot int, kind byte, vid long, vec binary"
     offsets = np.concatenate([[0], np.cumsum(salts)[:-1]])
 
     def route(as_entry: bool, as_query: bool):
@@ -251,7 +251,6 @@ def search_blocks(entries: DataFrame, queries: DataFrame, index: MultiIndex, red
                 for at in range(0, big.num_rows, 2000):
                     batch = big.slice(at, 2000)
                     vid = batch.column(0).to_numpy(zero_copy_only=False)
-                    x = batch.column(2).to_numpy(zero_copy_only=False) if extra else np.zeros(len(vid), np.int64)
                     matrix = as_matrix(batch.column(1), dim)
                     rows, slots, kinds = [], [], []
                     if as_entry:
@@ -268,11 +267,11 @@ def search_blocks(entries: DataFrame, queries: DataFrame, index: MultiIndex, red
                         block = np.array([b for f in found for b in f], np.int64)
                         rows.append(row), slots.append(offsets[block] + (vid[row] * 40503 >> 4) % salts[block]), kinds.append(np.ones(len(row), np.int8))
                     row = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots).astype(np.int32)), pa.array(np.concatenate(kinds)), pa.array(vid[row]), pa.array(x[row]), as_binary(matrix[row])], names=["slot", "kind", "vid", "x", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots).astype(np.int32)), pa.array(np.concatenate(kinds)), pa.array(vid[row]), as_binary(matrix[row])], names=["slot", "kind", "vid", "vec"])
 
         return run
 
-    columns = ["vid", "vec"] + (["x"] if extra else [])
+    columns = ["vid", "vec"]
     if shared:
         routed = entries.select(*columns).mapInArrow(route(True, True), fields)
     else:
@@ -280,29 +279,28 @@ def search_blocks(entries: DataFrame, queries: DataFrame, index: MultiIndex, red
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, ids, xs, block = -1, [], [], [], None
+        at, parts, ids, block = -1, [], [], None
         for batch in batches:
-            slot, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            vid, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            matrix = as_matrix(batch.column(4), dim)
+            slot, kind, vid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            matrix = as_matrix(batch.column(3), dim)
             change = np.flatnonzero((np.diff(slot) != 0) | (np.diff(kind) != 0)) + 1
             out = []
             for s, e in zip([0, *change.tolist()], [*change.tolist(), len(slot)]):
                 if s == e:
                     continue
                 if slot[s] != at:
-                    at, parts, ids, xs, block = slot[s], [], [], [], None
+                    at, parts, ids, block = slot[s], [], [], None
                 if kind[s] == 0:
-                    parts.append(matrix[s:e]), ids.append(vid[s:e]), xs.append(x[s:e])
+                    parts.append(matrix[s:e]), ids.append(vid[s:e])
                     continue
                 if not parts:
                     continue
                 if block is None:
-                    block, eids, exs = np.concatenate(parts), np.concatenate(ids), np.concatenate(xs)
+                    block, eids = np.concatenate(parts), np.concatenate(ids)
                 for q in range(s, e, 1024):
                     qs = slice(q, min(e, q + 1024))
                     cosines = matrix[qs] @ block.T
-                    out.append(reducer(cosines, vid[qs], x[qs], eids, exs, vid[qs][:, None] != eids[None, :]))
+                    out.append(reducer(cosines, vid[qs], eids, vid[qs][:, None] != eids[None, :]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 

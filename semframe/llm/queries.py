@@ -120,12 +120,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Size and most typical titles of each cluster of titles."""
-    docs = table(spark, folder, "documents")
-    told = describe_clusters(density_clusters(docs, ["doc_id"], "title_embedding", wanted=WANTED, block_rows=4096), ["doc_id"])
-    titles = docs.select(F.col("doc_id").alias("typical_id"), "title")
-    rows = told.select("first_doc_id", "size", F.explode("typical").alias("t")).select("first_doc_id", "size", "t.place", F.col("t.doc_id").alias("typical_id"))
-    return rows.join(titles, "typical_id").select("first_doc_id", "size", "place", "typical_id", "title")
+    """Size and most typical titles or chunks of each cluster."""
+    parts = []
+    for (name, (source, keys, vector)), shown in zip(CLUSTERED.items(), ("title", "content")):
+        rows = table(spark, folder, source)
+        told = describe_clusters(density_clusters(rows, keys, vector, min_cosine=0.8, min_size=5, wanted=WANTED, block_rows=4096), keys)
+        told = told.select(*[F.col(f"first_{k}") for k in keys], "size", F.explode("typical").alias("t")).select(*[F.col(f"first_{k}") for k in keys], "size", "t.place", *[f"t.{k}" for k in keys])
+        told = told.join(rows.groupBy(*keys).agg(F.min(shown).alias("shown")), keys)
+        told = told.withColumnsRenamed({keys[0]: "typical_id", "chunk_id": "typical_chunk_id", f"first_{keys[0]}": "first_id"})
+        parts.append(_second_key(told, ["first_chunk_id", "typical_chunk_id"]).select(F.lit(name).alias("collection"), "first_id", "first_chunk_id", "size", "place", "typical_id", "typical_chunk_id", "shown"))
+    return reduce(DataFrame.union, parts)
 
 
 # ---------------------------------------------------------------- problem 4

@@ -15,7 +15,7 @@ def class_neighbours(classes: VectorClasses, dim: int, k: int, min_cosine: float
     distinct vector (or of ``queries``, a subset with ``vid, vec``)."""
     index = fit_index(classes.distinct, classes.rows, dim, wanted, **fit)
 
-    def keep(cosines, qids, _, eids, __, mask):
+    def keep(cosines, qids, eids, mask):
         r, c = best_pairs(cosines, mask, k, min_cosine)
         return [qids[r], eids[c], cosines[r, c]]
 
@@ -99,7 +99,7 @@ def recall_against_all(df: DataFrame, keys: list[str], vector: str, every: int =
     found = class_neighbours(classes, dim, k, -1.0, wanted, asked, **fit).groupBy("q").agg(F.collect_set("e").alias("got"))
     everything = fit_index(classes.distinct, classes.rows, dim, classes.rows + 1, **(fit | {"cell_rows": max(1, classes.rows)}))
 
-    def keep(cosines, qids, _, eids, __, mask):
+    def keep(cosines, qids, eids, mask):
         r, c = best_pairs(cosines, mask, k, -1.0)
         return [qids[r], eids[c], cosines[r, c]]
 
