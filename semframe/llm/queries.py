@@ -19,7 +19,7 @@ from semframe.llm.matching import match_products, match_songs
 from semframe.llm.mixing import Mix, mix_sources, token_counts
 from semframe.llm.names import link_names, typed_names
 from semframe.llm.pieces import cut_pieces
-from semframe.llm.shared_spans import shared_share, shared_spans, sharing_pairs
+from semframe.llm.shared_spans import maximal_spans, shared_share, shared_spans, sharing_pairs
 from semframe.llm.similar_vectors import most_similar, nearest_of
 from semframe.runtime import staged, table
 
@@ -251,7 +251,26 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sharing_pairs(shared_spans(table(spark, folder, "documents"), "doc_id", "text", length=250))
 
 
-@query()
+_P10_MARKS = """
+WITH docs AS MATERIALIZED (SELECT doc_id, any_value(text) AS text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+windows AS MATERIALIZED (SELECT doc_id, i - 1 AS low, hash(substring(text, i, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM docs WHERE length(text) >= 250)),
+shared AS (SELECT doc_id, low FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
+broken AS (SELECT doc_id, low, CASE WHEN low - lag(low) OVER line <= 250 THEN 0 ELSE 1 END AS fresh FROM shared WINDOW line AS (PARTITION BY doc_id ORDER BY low)),
+counted AS (SELECT doc_id, low, sum(fresh) OVER (PARTITION BY doc_id ORDER BY low) AS island FROM broken),
+stretches AS (SELECT doc_id, min(low) AS start, max(low) + 250 - min(low) AS size FROM counted GROUP BY doc_id, island)
+"""
+
+
+@query(_P10_MARKS + "SELECT doc_id AS doc, start, size FROM stretches")
+def p10_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The maximal stretches that stand in more than one document."""
+    return maximal_spans(shared_spans(table(spark, folder, "documents"), "doc_id", "text", length=250))
+
+
+@query(_P10_MARKS + """
+SELECT d.doc_id AS doc, length(d.text) AS size, coalesce(sum(s.size), 0)::BIGINT AS shared_chars, coalesce(sum(s.size), 0)::BIGINT / greatest(length(d.text), 1) AS share, count(s.size) AS stretches
+FROM docs d LEFT JOIN stretches s USING (doc_id) GROUP BY d.doc_id, d.text
+""")
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document is shared elsewhere."""
     return shared_share(shared_spans(table(spark, folder, "documents"), "doc_id", "text", length=250))

@@ -37,15 +37,52 @@ class Powers:
             self.down = np.cumprod(factors, dtype=np.uint64)
 
 
+class Sums:
+    """Running sums of a slice of code points, from which the hash of any of
+    its stretches follows."""
+
+    def __init__(self, codes: np.ndarray, powers: Powers):
+        n = len(codes)
+        powers.reach(n + 1)
+        self.down = powers.down
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(scrambled(codes + np.uint64(0x51ED27)) * powers.up[:n], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return scrambled((self.sums[end] - self.sums[start]) * self.down[start])
+
+    def windows(self, length: int) -> np.ndarray:
+        """Hash of each window of ``length`` code points, by its start."""
+        n = len(self.sums) - length
+        return scrambled((self.sums[length:] - self.sums[:-length]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+
+
 def window_hashes(codes: np.ndarray, length: int, powers: Powers) -> np.ndarray:
-    """Hash of each window of ``length`` code points, by its start."""
-    n = len(codes)
-    if n < length:
-        return np.zeros(0, np.uint64)
-    powers.reach(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(scrambled(codes + np.uint64(0x51ED27)) * powers.up[:n], out=sums[1:])
-    return scrambled((sums[length:] - sums[:-length]) * powers.down[: n - length + 1])
+    return Sums(codes, powers).windows(length)
+
+
+POSITION = np.uint64((1 << 21) - 1)
+
+
+def least_blocks(sums: Sums, last: np.ndarray, block: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, counts, hash)`` of the runs of neighbouring windows of
+    ``length`` that have one least block of ``block`` code points.  ``last``
+    tells of each position how many of its text follow in the slice, so that no
+    window lies in two texts.  Of equal blocks the first counts."""
+    h = sums.windows(block)
+    w = length - block + 1
+    whole = np.flatnonzero(last[: max(0, len(last) - length + 1)] >= length - 1)
+    if not len(whole):
+        return whole, whole, np.zeros(0, np.uint64)
+    # a slice has fewer than 2**21 positions: the upper bits of the hash, then the place
+    packed = np.full(-(-len(h) // w) * w, ~np.uint64(0))
+    packed[: len(h)] = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
+    rows = packed.reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = (np.minimum(behind[whole], ahead[whole + w - 1]) & POSITION).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(whole) != 1)]))
+    return whole[first], np.diff(np.append(first, len(whole))), h[least[first]]
 
 
 def slices(texts: list[str], overlap: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

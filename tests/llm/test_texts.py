@@ -13,7 +13,7 @@ from semframe.llm.leaks import common_subsequence, leaked_passages, plain, slots
 from semframe.llm.mixing import mix_sources, pfair, token_counts
 from semframe.llm.pieces import cut, cut_pieces
 from semframe.llm.rolling import Powers, slices, window_hashes
-from semframe.llm.shared_spans import shared_share, shared_spans, sharing_pairs
+from semframe.llm.shared_spans import maximal_spans, shared_share, shared_spans, sharing_pairs
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 
@@ -38,21 +38,23 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 28, 1 << 10])
-def test_spans_are_brute_force(spark, bits):
-    length = 60
+@pytest.mark.parametrize("length", [60, 61, 7])
+def test_spans_are_brute_force(spark, length):
     docs = texts()
     rows = [(k, v, 1) for k, v in docs.items()] + [(1, docs[1], 2), (30, None, 1), (None, docs[1], 1)]
-    spans = shared_spans(spark.createDataFrame(rows, "doc_id long, text string, doc long"), "doc_id", "text", length, max_filter_bits=bits)
+    spans = shared_spans(spark.createDataFrame(rows, "doc_id long, text string, doc long"), "doc_id", "text", length)
     got = {tuple(r) for r in sharing_pairs(spans).collect()}
     windows = {k: {v[i : i + length] for i in range(len(v) - length + 1)} for k, v in docs.items()}
     assert got == {(a, b) for a in docs for b in docs if a < b and windows[a] & windows[b]} and got
     shares = {r.doc: r for r in shared_share(spans).collect()}
+    stretches = maximal_spans(spans).collect()
     for k, v in docs.items():
         marks = np.zeros(len(v), bool)
         for i in range(len(v) - length + 1):
             if any(v[i : i + length] in windows[o] for o in docs if o != k):
                 marks[i : i + length] = True
+        step = np.diff(np.concatenate([[0], marks.astype(int), [0]]))
+        assert sorted((r.start, r.start + r.size) for r in stretches if r.doc == k) == list(zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1)))
         assert shares[k].shared_chars == marks.sum() and shares[k].stretches == (np.diff(np.concatenate([[0], marks.astype(int)])) == 1).sum(), k
 
 
