@@ -243,7 +243,7 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH keys AS MATERIALIZED (SELECT DISTINCT doc_id, hash(substring(text, i, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM documents WHERE length(text) >= 250)),
+WITH keys AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(substring(text, i, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM documents WHERE length(text) >= 250)),
 shared AS (SELECT * FROM keys WHERE h IN (SELECT h FROM keys GROUP BY h HAVING count(*) > 1))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM shared a JOIN shared b ON a.h = b.h AND a.doc_id < b.doc_id
 """)
@@ -253,7 +253,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 _P10_MARKS = """
 WITH docs AS MATERIALIZED (SELECT doc_id, any_value(text) AS text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-windows AS MATERIALIZED (SELECT doc_id, i - 1 AS low, hash(substring(text, i, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM docs WHERE length(text) >= 250)),
+windows AS MATERIALIZED (SELECT doc_id, i - 1 AS low, md5_number(substring(text, i, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM docs WHERE length(text) >= 250)),
 shared AS (SELECT doc_id, low FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
 broken AS (SELECT doc_id, low, CASE WHEN low - lag(low) OVER line <= 250 THEN 0 ELSE 1 END AS fresh FROM shared WINDOW line AS (PARTITION BY doc_id ORDER BY low)),
 counted AS (SELECT doc_id, low, sum(fresh) OVER (PARTITION BY doc_id ORDER BY low) AS island FROM broken),
