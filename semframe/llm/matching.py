@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semframe.llm.listings import features, refuted
-from semframe.llm.names import folded, parse, same_organisation, same_person, sounded
+from semframe.llm.names import Words, folded, learned_words, parse, same_organisation, same_person, sounded
 from semframe.memo import memo
 from semframe.runtime import staged
 
@@ -109,10 +110,10 @@ def title_of(text: str | None) -> tuple[str, str]:
     return " ".join(re.findall(r"\w+", bare)), " ".join(sorted(version))
 
 
-def song(row: dict) -> dict:
+def song(row: dict, known: Words) -> dict:
     title, version = title_of(row["song_name"])
     album = title_of(re.sub(r" - (?:ep|single)\s*$", "", folded(row["album_name"] or "")))[0]
-    kind, core, rest = parse(row["artist_name"], "?") if (row["artist_name"] or "").strip() else ("", "", "")
+    kind, core, rest = parse(row["artist_name"], "?", known) if (row["artist_name"] or "").strip() else ("", "", "")
     long = [t for t in rest.split() if len(t) > 2] if kind == "p" else [core] if core else []
     surname = sounded(max(long, key=lambda t: (t in long[-1:], len(t)))) if long else ""
     day = released(row["released"])
@@ -135,12 +136,12 @@ def song_buckets(f: dict, left: bool) -> list[str]:
     return [f"s{n}" for n in around] + [them + o for o in other if o]
 
 
-def song_pair(a: dict, b: dict) -> tuple[float, bool]:
+def song_pair(a: dict, b: dict, known: Words) -> tuple[float, bool]:
     """``(weighted Dice score, refuted)``."""
     near = [(0.35, dice(a["title"], b["title"]))]
     artists = None
     if a["kind"] and b["kind"]:
-        same = a["kind"] == b["kind"] and (same_person(a["rest"], b["rest"], 0.78) if a["kind"] == "p" else same_organisation(a["core"], a["rest"], b["core"], b["rest"], 0.78))
+        same = a["kind"] == b["kind"] and (same_person(a["rest"], b["rest"], 0.78, known) if a["kind"] == "p" else same_organisation(a["core"], a["rest"], b["core"], b["rest"], 0.78))
         artists = 1.0 if same else dice(a["core"] + a["rest"], b["core"] + b["rest"])
         near.append((0.3, artists))
     albums = dice(a["album"], b["album"]) if a["album"] and b["album"] else None
@@ -295,8 +296,13 @@ def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: s
     return rows.select("left_key", "right_key", "score", "confidence")
 
 
-def match_songs(left: DataFrame, right: DataFrame, expand: int | None = 64) -> DataFrame:
-    return match_records(left, "sno_left", right, "sno_right", ["album_name", "artist_name", "released", "song_name", "track_time"], song, song_codes, song_pair, song_buckets, expand=expand)
+def match_songs(left: DataFrame, right: DataFrame, expand: int | None = 64, words: Words | None = None) -> DataFrame:
+    """``match_records`` of songs; what words mean in names of bands is learned
+    from all artists of both tables unless ``words`` tells it."""
+    if words is None:
+        artists = left.select("artist_name").union(right.select("artist_name")).distinct().select(F.lit("artist").alias("g"), "artist_name", F.lit("?").alias("k"))
+        words = learned_words(artists, "g", "artist_name", "k").get("artist", Words())
+    return match_records(left, "sno_left", right, "sno_right", ["album_name", "artist_name", "released", "song_name", "track_time"], partial(song, known=words), song_codes, partial(song_pair, known=words), song_buckets, expand=expand)
 
 
 def match_products(left: DataFrame, right: DataFrame, expand: int | None = 64) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,8 +20,6 @@ TITLES = frozenset("mr mrs ms miss dr prof sir dame eng gen col maj capt rev hon
 # fixed values: legal forms, joined without dots and blanks
 LEGAL = frozenset("co company corp corporation inc incorporated ltd limited llc limitedliabilitycompany plc gmbh gesmbh ag kg sa sociedadanonima societeanonyme srl spa bv nv ooo oao zao llp lp ab oy as pty pte".split())
 LEGAL_WORDS = (("limited", "liability", "company"), ("sociedad", "anonima"), ("societe", "anonyme"), ("ges", "m", "b", "h"), ("g", "m", "b", "h"), ("l", "l", "c"), ("o", "o", "o"), ("s", "a"), ("s", "r", "l"))
-# fixed values: words that many organisations, bands and ships have in their names
-COMMON = tuple("associates bank brothers capital chemicals consulting construction development electric energy engineering foods group holdings industries international logistics management manufacturing marine media partners pharmaceuticals resources services shipping solutions systems technologies trading transport university trio quartet quintet orchestra ensemble collective rangers band choir pearl breeze star horizon spirit queen princess".split())
 # fixed values: short forms of given names
 NICKNAMES = {
     short: name
@@ -38,10 +36,6 @@ NICKNAMES = {
 }
 
 
-# fixed values: given names besides those that have short forms
-GIVEN = frozenset(NICKNAMES.values()) | frozenset("anya bruno chiara emeka farida hiro ines ingrid joan jovan kwame leila lucia mateo noor omar priya renee soren tariq anna maria marie peter paul david george mary linda mark laura julia carlos juan jose luis pedro pablo ahmed ali fatima hassan ivan sergei igor boris elena irina svetlana wei li chen yuki kenji sofia marco luca giovanni hans karl klaus jean pierre michel claire kofi amina".split())
-
-
 def folded(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.replace("ø", "o").replace("Ø", "O").replace("ß", "ss").replace("ł", "l")) if not unicodedata.combining(c)).casefold()
 
@@ -76,29 +70,64 @@ def spelled_alike(a: str, b: str) -> float:
     return near if near >= 0.98 else max(near, 0.98 * alike(sounded(a), sounded(b)))
 
 
-@memo
-def common_word(token: str) -> str | None:
-    """The common word a token is, shortens or misspells."""
-    if token in COMMON:
-        return token
-    if len(token) >= 3:
-        starts = [w for w in COMMON if w.startswith(token)]
-        if starts:
-            return min(starts, key=len)
-        if len(token) <= 6:
-            for w in COMMON:
-                if w[0] == token[0] and len(token) < len(w):
-                    rest = iter(w)
-                    if all(c in rest for c in token) and token[-1] in w[-2:]:
-                        return w
-    if len(token) >= 4:
-        near = [(alike(token, w), w) for w in COMMON if w[0] == token[0] or w[-3:] == token[-3:]]
-        if near and max(near)[0] >= 0.82:
-            return max(near)[1]
-    return None
-
-
-def parse(name: str, kind: str) -> tuple[str, str, str]:
+class Words:
+    """What a collection of names tells of its words: ``common`` words that many
+    organisations, bands or ships have in their names, and ``given`` names."""
+
+    def __init__(self, common: Iterable[str] = (), given: Iterable[str] = ()):
+        self.common = tuple(sorted(common))
+        self.given = frozenset(NICKNAMES.values()) | frozenset(given)
+        self.common_word, self.given_like = memo(self._common_word), memo(self._given_like)
+
+    def _common_word(self, token: str) -> str | None:
+        """The common word a token is, shortens or misspells."""
+        if token in self.common:
+            return token
+        if len(token) >= 3:
+            starts = [w for w in self.common if w.startswith(token)]
+            if starts:
+                return min(starts, key=len)
+            if len(token) <= 6:
+                for w in self.common:
+                    if w[0] == token[0] and len(token) < len(w):
+                        rest = iter(w)
+                        if all(c in rest for c in token) and token[-1] in w[-2:]:
+                            return w
+        if len(token) >= 4:
+            near = [(alike(token, w), w) for w in self.common if w[0] == token[0] or w[-3:] == token[-3:]]
+            if near and max(near)[0] >= 0.82:
+                return max(near)[1]
+        return None
+
+    def _given_like(self, token: str) -> bool:
+        """A given name, rightly spelled or with a slip."""
+        return token in self.given or len(token) >= 5 and any(abs(len(g) - len(token)) <= 1 and alike(token, g) >= 0.85 for g in self.given)
+
+
+def learned_words(names: DataFrame, group: str, name: str, kind: str, common_share: float = 0.01, given_share: float = 0.001, least: int = 20) -> dict[str, Words]:
+    """The words of each group, from all its names: common are words in at least
+    ``common_share`` of the names that aren't known as persons' which seldom open
+    a name, given are words that open most of the persons' names they stand in
+    and stand in at least ``given_share`` of them; given names of one group are
+    given names in all.  They stand in at least ``least`` names, given ones in
+    half of that, so at most a few words a share reach the driver."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(name, r"\([^)]*\)", " ")), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*LEGAL, *TITLES, "the", "thee", "and"))
+    rows = names.select(F.col(group).alias("g"), F.coalesce(kind, F.lit("?")).alias("k"), words.alias("words")).where("size(words) > 0")
+    sizes = rows.groupBy("g").agg(F.sum((F.col("k") != "p").cast("long")).alias("others"), F.sum((F.col("k") != "o").cast("long")).alias("people"))
+    seen = rows.select("g", "k", F.element_at("words", 1).alias("first"), F.explode(F.array_distinct("words")).alias("w"))
+    first = (F.col("w") == F.col("first")).cast("long")
+    counts = [F.sum(x).alias(n) for n, x in (("n", (F.col("k") != "p").cast("long")), ("opens", F.when(F.col("k") != "p", first).otherwise(0)), ("people_n", (F.col("k") != "o").cast("long")), ("people_opens", F.when(F.col("k") != "o", first).otherwise(0)))]
+    seen = seen.groupBy("g", "w").agg(*counts).join(F.broadcast(sizes), "g")  # one row a group
+    seen = seen.select("g", "w", F.expr(f"n >= {least} and n >= {common_share} * others and 2 * opens < n").alias("common"), F.expr(f"2 * people_n >= {least} and people_n >= {given_share} * people and 2 * people_opens >= people_n").alias("given")).where("common or given")
+    told: dict[str, tuple[set[str], set[str]]] = {}
+    for r in seen.collect():
+        common, given = told.setdefault(r.g, (set(), set()))
+        (common if r.common else given).add(folded(r.w))
+    given = frozenset().union(*(g for _, g in told.values()))
+    return {g: Words(common, given - common) for g, (common, _) in told.items()}
+
+
+def parse(name: str, kind: str, known: Words) -> tuple[str, str, str]:
     """``(kind, core, rest)``.  Of an organisation (kind ``o``) core is the own
     word and rest the common words in order; of a person (``p``) core is empty
     and rest the tokens, surname first where a comma tells it, initials marked
@@ -112,7 +141,7 @@ def parse(name: str, kind: str) -> tuple[str, str, str]:
             if tuple(words[i : i + n]) == legal:
                 del words[i : i + n]
     kept = [w for w in words if w not in LEGAL and w not in ("the", "thee", "and", "of")]
-    commons = [common_word(w) for w in kept]
+    commons = [known.common_word(w) for w in kept]
     if kind == "p" or kind == "?" and not any(commons) and len(kept) == len([w for w in spelled if w not in ("the", "thee", "and", "of")]):
         return "p", "", " ".join(person_tokens(name))
     own = [w for w, c in zip(kept, commons) if c is None]
@@ -140,17 +169,11 @@ def person_tokens(name: str) -> list[str]:
     return sides[1] + sides[0] if len(sides) > 1 and sides[1] else sides[0]
 
 
-@memo
-def given_like(token: str) -> bool:
-    """A given name, rightly spelled or with a slip."""
-    return token in GIVEN or len(token) >= 5 and any(abs(len(g) - len(token)) <= 1 and alike(token, g) >= 0.85 for g in GIVEN)
-
-
-def surnames(tokens: list[str]) -> list[int]:
+def surnames(tokens: list[str], known: Words) -> list[int]:
     """Where the surname may stand: any full token that isn't a given name,
     else the last full token."""
     full = [i for i, t in enumerate(tokens) if len(t) > 2]
-    return [i for i in full if not given_like(tokens[i])] or full[-1:]
+    return [i for i in full if not known.given_like(tokens[i])] or full[-1:]
 
 
 def same_given(a: str, b: str) -> bool:
@@ -159,10 +182,10 @@ def same_given(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) >= 4 and max(alike(a, b), 0.98 * alike(sounded(a), sounded(b))) >= 0.78)
 
 
-def same_person(a: str, b: str, least: float) -> bool:
+def same_person(a: str, b: str, least: float, known: Words) -> bool:
     """One surname in two spellings and first given names that go together."""
     x, y = a.split(), b.split()
-    long = [(spelled_alike(x[i], y[j]), len(x[i]), i, j) for i in surnames(x) for j in surnames(y)]
+    long = [(spelled_alike(x[i], y[j]), len(x[i]), i, j) for i in surnames(x, known) for j in surnames(y, known)]
     best = max(((s, n, i, j) for s, n, i, j in long if s >= least), default=None, key=lambda m: (m[1], m[0]))
     if best is None:
         return False
@@ -181,7 +204,7 @@ def same_organisation(core_a: str, rest_a: str, core_b: str, rest_b: str, least:
     return near >= least and (bool(x) == bool(y) or near >= 0.9)
 
 
-def compared(a: dict, b: dict, least: float) -> bool:
+def compared(a: dict, b: dict, least: float, words: Words) -> bool:
     """Whether two parsed names mean the same; other fields may refute it."""
     if a["kind"] != b["kind"]:
         return False
@@ -191,7 +214,7 @@ def compared(a: dict, b: dict, least: float) -> bool:
     if known:
         least -= 0.06
     if a["kind"] == "p":
-        return same_person(a["rest"], b["rest"], least)
+        return same_person(a["rest"], b["rest"], least, words)
     if not same_organisation(a["core"], a["rest"], b["core"], b["rest"], least):
         return False
     if known:
@@ -215,7 +238,32 @@ def block_keys(row: dict, least: int) -> list[tuple[str, str, str]]:
     return list({(side, t if side == "s" else t[::-1], row["kind"] + c) for t, c in tokens if len(t) >= least for side in "sm"})
 
 
-def link_names(df: DataFrame, group: str, key: str, name: str, kind: str, mark: str, place: str, year: str, least: float = 0.84, min_suffix: int = 4, max_block: int = 60, window: int = 8, expand: int = 64) -> DataFrame:
+def outlines(row: dict, known: Words) -> list[tuple[str, str, str, str]]:
+    """``(surname, its sound, first given name, its sound)`` for each token that
+    may be the surname; of an organisation its own word and no given name."""
+    if row["kind"] == "o":
+        return [(row["core"], sounded(row["core"]), "", "")]
+    tokens = row["rest"].split()
+    out = []
+    for i in surnames(tokens, known):
+        given = next((t for j, t in enumerate(tokens) if j != i), "")
+        out.append((tokens[i], sounded(tokens[i]), given, sounded(given)))
+    return out
+
+
+def near_outlines(least: float) -> str:
+    """SQL: whether two names can be alike at all.  The edit distance of two
+    words is at most their letters outside a common subsequence, so a ratio of
+    at least r leaves no more than 1 - r of their letters."""
+
+    def near(r: float, *columns: str) -> str:
+        return " or ".join(f"levenshtein(x.{c}, y.{c}) <= {1 - bound:.6f} * (length(x.{c}) + length(y.{c})) + 1e-6" for c, bound in zip(columns, (r, r / 0.98)))
+
+    given = f"(x.given = y.given or x.given <> '' and y.given <> '' and case when right(x.given, 1) = '.' or right(y.given, 1) = '.' then left(x.given, 1) = left(y.given, 1) else {near(0.78, 'given', 'given_sound')} end)"
+    return f"exists(outlines, x -> exists(other_outlines, y -> {given} and (x.name = y.name or {near(least, 'name', 'sound')})))"
+
+
+def link_names(df: DataFrame, group: str, key: str, name: str, kind: str, mark: str, place: str, year: str, least: float = 0.84, min_suffix: int = 4, tile: int = 480, expand: int = 64, words: Words | None = None) -> DataFrame:
     """``group, key_a, key_b``: keys of one group whose names mean the same.
 
     ``kind`` is ``p`` (person), ``o`` (organisation, band, ship) or ``?``;
@@ -227,63 +275,74 @@ def link_names(df: DataFrame, group: str, key: str, name: str, kind: str, mark:
     Suffix blocking: the last ``min_suffix`` letters of every token are indexed,
     forwards and of the mirrored token, refined by a context (the initial beside
     the token, the line of business).  All rows of a block are compared, however
-    many they are: a block of over ``max_block * window`` rows is cut into tiles
-    of that size, and all pairs of tiles meet.
-    Pairs are compared by the ratio of the longest common subsequence, token by
-    token.  Links are closed transitively: all keys of an entity are paired,
-    however many they are.
-
-    Rows that agree in all parsed values are one class: members of a class of
-    at most ``expand`` are all paired, larger ones with the first member only.
-    Defined results: null and blank names and null keys give no pair; repeated
-    rows of a key count once (the largest of each value); empty in, empty out;
-    other columns are ignored.
+    many they are: a block is cut into tiles of ``tile`` rows, and all pairs of
+    tiles meet.  A bound on the letters that can be common drops most pairs as
+    they are met; the others are compared by the ratio of the longest common
+    subsequence, token by token.  Which words are lines of business or given
+    names is learned from all names of a group, unless ``words`` tells it.
+
+    All names a key was delivered with are its spellings, its other values are
+    the largest of each.  Links are closed transitively: all keys of an entity
+    are paired, however many they are.  Only of keys that agree letter by letter
+    in name and values, and are more than ``expand``, the first stands for the
+    others and is paired with each of them.  Defined results: null and blank
+    names and null keys give no pair; repeated rows count once; empty in, empty
+    out; other columns are ignored.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(name).alias("name"), F.col(kind).alias("k"), F.col(mark).alias("mark"), F.col(place).alias("place"), F.col(year).cast("int").alias("year")).where("key is not null and length(trim(name)) > 0")
-    rows = rows.groupBy("g", "key").agg(*[F.max(c).alias(c) for c in ("name", "k", "mark", "place", "year")])
-    parsed_fields = "g string, key string, kind string, core string, rest string, mark string, place string, year int"
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(name).alias("name"), F.col(kind).alias("k"), F.col(mark).alias("mark"), F.col(place).alias("place"), F.col(year).cast("int").alias("year")).where("key is not null")
+    values = rows.groupBy("g", "key").agg(*[F.max(c).alias(c) for c in ("k", "mark", "place", "year")])
+    rows = staged(rows.where("length(trim(name)) > 0").select("g", "key", "name").distinct().join(values, ["g", "key"]), "names")
+    known = learned_words(rows, "g", "name", "k") if words is None else {}
+    other = words or Words()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [parse(n, k or "?") for n, k in zip(batch.column("name").to_pylist(), batch.column("k").to_pylist())]
+            told = [parse(n, k or "?", known.get(g, other)) for g, n, k in zip(*(batch.column(c).to_pylist() for c in ("g", "name", "k")))]
             kinds, cores, rests = (pa.array(c, pa.string()) for c in zip(*told)) if told else (pa.array([], pa.string()),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("key"), kinds, cores, rests, batch.column("mark"), batch.column("place"), batch.column("year")], names=["g", "key", "kind", "core", "rest", "mark", "place", "year"])
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("key"), batch.column("text"), kinds, cores, rests, batch.column("mark"), batch.column("place"), batch.column("year")], names=["g", "key", "text", "kind", "core", "rest", "mark", "place", "year"])
 
-    parsed = staged(rows.mapInArrow(read, parsed_fields), "names")
+    parsed = staged(rows.withColumn("text", F.xxhash64("name", "k")).mapInArrow(read, "g string, key string, text long, kind string, core string, rest string, mark string, place string, year int"), "names")
     same = ["g", "kind", "core", "rest", "mark", "place", "year"]
-    nodes = staged(parsed.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "names")
-    members = parsed.join(nodes.select(*[F.col(c).alias(f"_{c}") for c in same], "node", "n"), [parsed[c].eqNullSafe(F.col(f"_{c}")) for c in same]).select("g", "key", "node", "n")
+    nodes = staged(parsed.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()), "names")
+    members = staged(parsed.join(nodes.select(*[F.col(c).alias(f"_{c}") for c in same], "node"), [parsed[c].eqNullSafe(F.col(f"_{c}")) for c in same]).select("g", "key", "node", "text"), "members")
+
+    outline = pa.list_(pa.struct([(c, pa.string()) for c in ("name", "sound", "given", "given_sound")]))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out = [(r["g"], side, token, context, r["mark"], r["node"]) for r in rows for side, token, context in block_keys(r, min_suffix)]
+            out = []
+            for r in batch.to_pylist():
+                told = [dict(zip(("name", "sound", "given", "given_sound"), o)) for o in outlines(r, known.get(r["g"], other))]
+                out += [(r["g"], side, token[-min_suffix:], context, r["mark"] or None, told, r["node"]) for side, token, context in block_keys(r, min_suffix)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string()] * 5 + [pa.int64()])], names=["g", "side", "token", "context", "mark", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string()] * 5 + [outline, pa.int64()])], names=["g", "side", "suffix", "context", "mark", "outlines", "node"])
 
-    indexed = staged(nodes.select("g", "kind", "core", "rest", "mark", "node").mapInArrow(keys, "g string, side string, token string, context string, mark string, node long"), "keys")
-    blocks = indexed.select(F.xxhash64("g", "side", "context", F.substring("token", -min_suffix, min_suffix)).alias("block"), "node", F.nullif("mark", F.lit("")).alias("mark"))
-    met = pairs_within(staged(blocks, "blocks"), "block", "node", max_block * window, ("mark",))
+    indexed = nodes.select("g", "kind", "core", "rest", "mark", "node").mapInArrow(keys, "g string, side string, suffix string, context string, mark string, outlines array<struct<name:string,sound:string,given:string,given_sound:string>>, node long")
+    blocks = staged(indexed.select(F.xxhash64("g", "side", "context", "suffix").alias("block"), "node", "mark", "outlines").dropDuplicates(["block", "node"]), "blocks")
+    met = pairs_within(blocks, "block", "node", tile, ("mark", "outlines"))
     # marks that differ refute a pair whatever the names are
-    candidates = met.where("mark is null or other_mark is null or mark = other_mark").select("node", "other").distinct()
+    candidates = met.where("mark is null or other_mark is null or mark = other_mark").where(near_outlines(least - 0.06)).select("node", "other").distinct()
 
     features = ("kind", "core", "rest", "mark", "place", "year")
-    side_a = nodes.select("node", F.struct(*features).alias("a"))
+    side_a = nodes.select("g", "node", F.struct(*features).alias("a"))
     side_b = nodes.select(F.col("node").alias("other"), F.struct(*features).alias("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([compared(a, b, least) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["node", "other"])
+            keep = pa.array([compared(a, b, least, known.get(g, other)) for g, a, b in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "b")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("node", "other")], names=["node", "other"])
 
-    links = staged(candidates.join(side_a, "node").join(side_b, "other").select("node", "other", "a", "b").mapInArrow(compare, "node long, other long"), "links")
+    links = candidates.join(side_a, "node").join(side_b, "other").select("g", "node", "other", "a", "b").mapInArrow(compare, "node long, other long")
+    own = members.groupBy("g", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("g", "key", "low")
+    own = members.join(own, ["g", "key"]).where("node <> low").select("node", F.col("low").alias("other"))
+    links = staged(links.union(own), "links")
     whole = connected_components(links, "node", "other").withColumnRenamed("label", "entity")
-    placed = staged(members.join(whole, "node", "left").select("g", "key", "node", "n", F.coalesce("entity", "node").alias("entity")), "linked")
-    first = placed.groupBy("g", "entity", "node").agg(F.min("key").alias("rep"))
-    heads = staged(placed.join(first.select("node", "rep"), "node").where((F.col("n") <= expand) | (F.col("key") == F.col("rep"))).select("g", "entity", "key"), "heads")
-    both = pairs_within(heads, "entity", "key", max_block * window, ("g",)).select("g", F.col("key").alias("x"), F.col("other").alias("y"))
-    # larger classes: stars only
-    star = placed.where(F.col("n") > expand).join(first.select("node", "rep"), "node").where("key <> rep").select("g", F.col("rep").alias("x"), F.col("key").alias("y"))
+    copies = members.groupBy("node", "text").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+    placed = members.join(copies, ["node", "text"]).join(whole, "node", "left").select("g", "key", "n", "first", F.coalesce("entity", "node").alias("entity"))
+    placed = staged(placed, "linked")
+    heads = staged(placed.where((F.col("n") <= expand) | (F.col("key") == F.col("first"))).select("g", "entity", "key").distinct(), "heads")
+    both = pairs_within(heads, "entity", "key", tile, ("g",)).select("g", F.col("key").alias("x"), F.col("other").alias("y"))
+    star = placed.where((F.col("n") > expand) & (F.col("key") != F.col("first"))).select("g", F.col("first").alias("x"), F.col("key").alias("y"))
     return both.union(star).select(F.col("g").alias("group"), F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 

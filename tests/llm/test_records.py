@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -9,11 +10,12 @@ import pytest
 from semframe.llm import queries as Q
 from semframe.llm.listings import features, parsed_listings, price_of, refuted, same_listings, star_clusters, tokens
 from semframe.llm.matching import bit_vector, calibration, dice, hamming_pairs, match_products, match_records, match_songs, released, seconds, song, song_buckets, song_codes, song_pair, title_of
-from semframe.llm.names import alike, block_keys, common_word, link_names, parse, person_tokens, same_person
+from semframe.llm.names import Words, alike, block_keys, learned_words, link_names, parse, person_tokens, same_person
 from semframe.operators.tiles import pairs_within
 
 # ------------------------------------------------------------------- problem 2
 
+WORDS = Words("development foods logistics trio quartet shipping management services".split(), "olga natalia omar jovan leila".split())
 NAMES = [
     ("p1", "Frederick Hisazefosk", "p"), ("p2", "Fred Hisazefosk", "p"), ("p3", "F. Hisazefosk", "p"), ("p4", "HISAZEFOSK, F.A.", "p"), ("p5", "Dr. Frederick-John Hisasephosk Jr.", "p"), ("p6", "Hisazfeosk, Frederick", "p"),
     ("q1", "Rebecca Hisazefosk", "p"), ("q2", "Becky Hisazefosk", "p"), ("r1", "Natalia K. Wihoviril", "p"), ("s1", "Natalia Kogokiwak", "p"), ("s2", "KOGOKIWAK NATALIA", "p"),
@@ -27,7 +29,7 @@ def names_frame(spark, rows):
 
 
 def linked(df, **options):
-    return {(r.key_a, r.key_b) for r in link_names(df, "grp", "key", "name", "t", "m", "p", "y", **options).collect()}
+    return {(r.key_a, r.key_b) for r in link_names(df, "grp", "key", "name", "t", "m", "p", "y", **({"words": WORDS} | options)).collect()}
 
 
 def pairs(groups):
@@ -38,7 +40,7 @@ def test_names(spark):
     df = names_frame(spark, NAMES + NAMES[:4])
     want = pairs(["p1 p2 p3 p4 p5 p6", "q1 q2", "s1 s2", "o1 o2 o3 o4", "b1 b2 b3"])
     assert linked(df) == want
-    assert linked(df, max_block=2, window=30) == want  # every block too common
+    assert linked(df, tile=2) == want  # every block in several tiles
     assert linked(df.limit(0)) == set()
 
 
@@ -59,7 +61,7 @@ def test_common_blocks_are_compared_completely(spark):
     r = random.Random(3)
     crowd = ["".join(r.choice("bcdfgklmnpstvz") + r.choice("aeiou") for _ in range(3)) + r.choice("bdfgklmn") + "erikh" for _ in range(400)]
     df = names_frame(spark, [(f"c{i:03}", f"Olga {c.title()}", "p") for i, c in enumerate(dict.fromkeys(crowd))] + [("x", "Olga Hisazefoserikh", "p"), ("y", "O. Hsiazefoferikh", "p")])
-    assert ("x", "y") in linked(df) and ("x", "y") in linked(df, max_block=5, window=2)
+    assert ("x", "y") in linked(df) and ("x", "y") in linked(df, tile=10)
 
 
 def test_pairs_within_blocks(spark):
@@ -69,6 +71,23 @@ def test_pairs_within_blocks(spark):
     assert sorted(got) == [(b, i, j, str(i), str(j)) for b, n in ((2, 40), (3, 2)) for i in range(n) for j in range(i + 1, n)]
 
 
+def test_every_spelling_of_a_key_counts(spark):
+    df = names_frame(spark, [("a", "Olga Bifefadiff", "p"), ("a", "Natalia Kogokiwak", "p"), ("b", "Olga Bifefadif", "p"), ("c", "N. Kogokiwak", "p")])
+    assert linked(df) == pairs(["a b c"])
+
+
+def test_differing_texts_of_one_name_are_all_paired(spark):
+    df = names_frame(spark, [(f"k{i:03}", "Hiro" + " " * (i + 1) + "Womepireld", "p") for i in range(90)])
+    assert len(linked(df, expand=20)) == 90 * 89 // 2
+
+
+def test_learned_words(spark):
+    own = ["".join(random.Random(i).choice("bdfgklmn") + random.Random(i * 7 + j).choice("aeiou") for j in range(4)) for i in range(400)]
+    rows = [("g", f"{o.title()} {('Foods', 'Logistics')[i % 2]} {('Ltd', 'Inc.')[i % 3 > 0]}", "o") for i, o in enumerate(own)] + [("g", f"{('Olga', 'Hiro')[i % 2]} {o}", "p") for i, o in enumerate(own)] + [("h", None, "o"), ("h", "x", None)]
+    told = learned_words(spark.createDataFrame(rows, "g string, n string, k string"), "g", "n", "k")
+    assert set(told) == {"g"} and set(told["g"].common) == {"foods", "logistics"} and {"olga", "hiro"} <= told["g"].given
+
+
 def test_large_entities_are_paired_completely(spark):
     df = names_frame(spark, [(f"{c}{i}", f"Frederick {c.upper()}. Hisazefosk", "p") for c in "abcde" for i in (1, 2)])
     assert linked(df, expand=2) == linked(df) == pairs([" ".join(f"{c}{i}" for c in "abcde" for i in (1, 2))])
@@ -77,10 +96,10 @@ def test_large_entities_are_paired_completely(spark):
 def test_name_parts():
     assert person_tokens("Mr Anna-Maria O. Smith Jr.") == ["anna", "maria", "o.", "smith"] and person_tokens("SMITH, J.K.") == ["j.", "k.", "smith"]
     assert person_tokens("Banattaroler GT") == ["banattaroler", "g.", "t."] and person_tokens("Lageneleth, Nacho") == ["ignacio", "lageneleth"]
-    assert parse("The Big Foods & Co. S.A.", "o") == ("o", "big", "foods") and parse("", "p")[0] == "p"
-    assert common_word("shpg") == "shipping" and common_word("mgmt") == "management" and common_word("siervices") == "services" and common_word("kefodamoth") is None
+    assert parse("The Big Foods & Co. S.A.", "o", WORDS) == ("o", "big", "foods") and parse("", "p", WORDS)[0] == "p"
+    assert WORDS.common_word("shpg") == "shipping" and WORDS.common_word("mgmt") == "management" and WORDS.common_word("siervices") == "services" and WORDS.common_word("kefodamoth") is None
     assert alike("abcd", "abd") == pytest.approx(6 / 7) and alike("", "a") == 0 and alike("x", "x") == 1
-    assert same_person("olga bifefadiff", "o. bifefadiff", 0.8) and not same_person("olga bifefadiff", "omar bifefadiff", 0.8) and not same_person("natalia k. wihoviril", "natalia kogokiwak", 0.8)
+    assert same_person("olga bifefadiff", "o. bifefadiff", 0.8, WORDS) and not same_person("olga bifefadiff", "omar bifefadiff", 0.8, WORDS) and not same_person("natalia k. wihoviril", "natalia kogokiwak", 0.8, WORDS)
     assert all(len(t) >= 4 for _, t, _ in block_keys({"kind": "p", "core": "", "rest": "j. smithson"}, 4))
 
 
@@ -158,32 +177,32 @@ def songs(spark, rows, key):
 
 def test_songs(spark):
     left, right = songs(spark, SONGS_L + SONGS_L[:2], "sno_left"), songs(spark, SONGS_R, "sno_right")
-    got = {(r.left_key, r.right_key): r.confidence for r in match_songs(left, right).collect()}
+    got = {(r.left_key, r.right_key): r.confidence for r in match_songs(left, right, words=WORDS).collect()}
     assert set(got) == {(1, 11), (2, 12), (4, 15), (6, 16)} and all(0.5 <= c <= 1 for c in got.values())
     assert match_songs(left.limit(0), right).count() == 0 and match_songs(left, right.limit(0)).count() == 0
 
 
 def test_songs_that_many_rows_tell(spark):
     left = songs(spark, [(i, *SONGS_L[0][1:]) for i in range(90)], "sno_left")
-    got = match_songs(left, songs(spark, SONGS_R, "sno_right"))
+    got = match_songs(left, songs(spark, SONGS_R, "sno_right"), words=WORDS)
     assert got.count() == 1  # the first of the equal rows stands for them
     few = songs(spark, [(i, *SONGS_L[0][1:]) for i in range(20)], "sno_left")
-    assert match_songs(few, songs(spark, SONGS_R, "sno_right")).count() == 20
+    assert match_songs(few, songs(spark, SONGS_R, "sno_right"), words=WORDS).count() == 20
 
 
 def test_every_row_of_a_common_song_is_matched(spark):
     left = songs(spark, [(i, *SONGS_L[0][1:3], SONGS_L[0][3], "Almost" + " " * (i + 1) + "North Few", SONGS_L[0][5]) for i in range(90)], "sno_left")
     right = songs(spark, [SONGS_R[0]] + [(200 + i, *SONGS_R[0][1:4], "almost North" + " " * (i + 1) + "few", SONGS_R[0][5]) for i in range(70)], "sno_right")
-    got = {(r.left_key, r.right_key) for r in match_songs(left, right).collect()}
+    got = {(r.left_key, r.right_key) for r in match_songs(left, right, words=WORDS).collect()}
     assert got == {(i, j) for i in range(90) for j in [11, *range(200, 270)]}
 
 
 def test_every_copy_is_matched_where_asked(spark):
     left = songs(spark, [(i, *SONGS_L[0][1:]) for i in range(90)], "sno_left")
     right = songs(spark, [(200 + i, *SONGS_R[0][1:]) for i in range(70)], "sno_right")
-    assert match_songs(left, right, expand=None).distinct().count() == 90 * 70
+    assert match_songs(left, right, expand=None, words=WORDS).distinct().count() == 90 * 70
     columns = ["album_name", "artist_name", "released", "song_name", "track_time"]
-    tiled = match_records(left, "sno_left", right, "sno_right", columns, song, song_codes, song_pair, song_buckets, expand=None, tile=8)
+    tiled = match_records(left, "sno_left", right, "sno_right", columns, partial(song, known=WORDS), song_codes, partial(song_pair, known=WORDS), song_buckets, expand=None, tile=8)
     assert tiled.count() == tiled.distinct().count() == 90 * 70
 
 
@@ -213,8 +232,8 @@ def test_song_parts():
     assert dice("night", "night") == 1 and dice("", "") == 0 and 0.4 < dice("night", "nacht") < 0.6
     assert (bit_vector({"t": "some title"}) != bit_vector({"t": "some titel"})).sum() < 60 and not bit_vector({}).any()
     keys = ("album_name", "artist_name", "released", "song_name", "track_time")
-    a, b = (song(dict(zip(keys, r[1:]))) for r in (SONGS_L[0], SONGS_R[3]))
-    assert song_pair(a, b)[1]  # a cover
+    a, b = (song(dict(zip(keys, r[1:])), WORDS) for r in (SONGS_L[0], SONGS_R[3]))
+    assert song_pair(a, b, WORDS)[1]  # a cover
 
 
 def test_confidences_rise_with_scores(spark):
