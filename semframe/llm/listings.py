@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,7 +16,6 @@ from semframe.runtime import staged
 
 # fixed values: colours, their short forms and their usual shades
 COLOURS = {"black": "black blk jet black", "white": "white wht pure white", "silver": "silver slv metallic silver", "red": "red rd cherry red", "blue": "blue blu ocean blue", "green": "green grn", "grey": "grey gray gry", "gold": "gold gld", "pink": "pink pnk", "brown": "brown brn", "yellow": "yellow ylw", "purple": "purple prp", "orange": "orange org", "beige": "beige"}
-COLOUR = {s: name for name, shorts in COLOURS.items() for s in shorts.split(" ")}
 # fixed values: names of kinds of goods that mean the same
 KINDS = {
     "television": ("lcd tv", "hdtv", "flat panel television", "lcd television", "television", "tv"),
@@ -37,9 +36,42 @@ SIZE = re.compile(r"(\d+(?:[.,]\d+)?)[ -]?(" + "|".join(sorted((re.escape(u) for
 MODEL = re.compile(r"(?<![a-z0-9])([a-z]{2,4})[ -]{0,2}(\d{2})-?(\d{2})([a-z]?)(?![a-z0-9])")
 LOOSE = re.compile(r"(?<![a-z0-9])(?=[a-z0-9-]*[a-z])(?=[a-z0-9-]*\d)([a-z][a-z0-9]*(?:-[a-z0-9]+)*)(?![a-z0-9])")
 MARKED = re.compile(r"(?:mfr\.? part|model|item no\.?)\s+([a-z0-9][a-z0-9 -]*)")
+NUMBER = re.compile(r"(?<!\d)\d(?:[ -]?\d){7,12}(?!\d)")  # articles known by a long number
 PRICE = re.compile(r"\d+(?:[.,]\d{3})*(?:[.,]\d{1,2})?")
-VOCABULARY = frozenset(w for phrase in [*(s for shorts in KINDS.values() for s in shorts), *ACCESSORIES, *MARKETING, *COLOURS.values()] for w in re.findall(r"[a-z]{3,}", phrase))
-ALL_KINDS = sorted(((s, k) for k, shorts in KINDS.items() for s in shorts), key=lambda x: -len(x[0]))
+
+
+def _any_of(phrases: Iterable[str], before: str = "(?<![a-z])", after: str = "(?![a-z])") -> re.Pattern:
+    """One of the phrases as a whole, the longest first."""
+    return re.compile(f"{before}({'|'.join(map(re.escape, sorted(phrases, key=len, reverse=True))) or '(?!)'}){after}")
+
+
+class Catalogue:
+    """Words that mean the same in a catalogue: colours and kinds of goods with
+    their other names, accessories, and offers that say nothing of the product.
+    Any of them may be empty: names are then told apart by their own words."""
+
+    def __init__(self, colours: dict[str, str] | None = None, kinds: dict[str, Iterable[str]] | None = None, accessories: Iterable[str] | None = None, offers: Iterable[str] | None = None):
+        colours, kinds = COLOURS if colours is None else colours, KINDS if kinds is None else kinds
+        self.accessories, offers = tuple(ACCESSORIES if accessories is None else accessories), tuple(MARKETING if offers is None else offers)
+        self.colours = {s: name for name, shorts in colours.items() for s in shorts.split()}
+        self.kinds = {s: k for k, shorts in kinds.items() for s in shorts}
+        self.kind, self.accessory, self.main = _any_of(self.kinds), _any_of(self.accessories), _any_of(self.accessories[:4])
+        self.offer, self.colour = _any_of(offers, after="!?(?![a-z])"), re.compile("[a-z]+")
+        self.vocabulary = frozenset(w for phrase in [*self.kinds, *self.accessories, *offers, *self.colours] for w in re.findall(r"[a-z]{3,}", phrase))
+        self.vocabulary_like = memo(self._vocabulary_like)
+
+    def _vocabulary_like(self, word: str) -> bool:
+        """A word of kinds, offers or colours, rightly spelled or with a slip."""
+        return any(abs(len(v) - len(word)) <= 2 and alike(word, v) >= 0.8 for v in self.vocabulary)
+
+    def kind_of(self, text: str) -> tuple[str, str]:
+        """``(kind, accessory)``; an accessory is for a kind of goods and isn't one."""
+        kind = max(self.kind.findall(text), key=len, default="")
+        named = (self.accessory if re.search(r"\bfor\b", text) else self.main).findall(text)
+        return self.kinds.get(kind, ""), next((a for a in self.accessories if a in named), "")
+
+
+HOUSEHOLD = Catalogue()
 
 
 def price_of(text: str | None) -> float | None:
@@ -53,92 +85,107 @@ def price_of(text: str | None) -> float | None:
     return float(re.sub(r"\D", "", digits))
 
 
-def sizes_of(text: str) -> dict[str, float]:
-    out: dict[str, float] = {}
-    for number, unit in SIZE.findall(text):
-        kind, factor = UNITS[unit]
-        out.setdefault(kind, float(number.replace(",", ".")) * factor)
-    return out
-
-
-def kind_of(text: str) -> tuple[str, str]:
-    """``(kind, accessory)``; an accessory is for a kind of goods and isn't one."""
-    kind = next((k for s, k in ALL_KINDS if re.search(rf"(?<![a-z]){re.escape(s)}(?![a-z])", text)), "")
-    named = ACCESSORIES if re.search(r"\bfor\b", text) else ACCESSORIES[:4]
-    return kind, next((a for a in named if re.search(rf"(?<![a-z]){a}(?![a-z])", text)), "")
-
+def sizes_of(text: str) -> list[tuple[str, float]]:
+    return [(UNITS[unit][0], float(number.replace(",", ".")) * UNITS[unit][1]) for number, unit in SIZE.findall(text)]
 
-@memo
-def vocabulary_like(word: str) -> bool:
-    """A word of kinds, offers or colours, rightly spelled or with a slip."""
-    return any(abs(len(v) - len(word)) <= 2 and alike(word, v) >= 0.8 for v in VOCABULARY)
 
-
-def features(name: str | None, description: str | None, price: str | None) -> dict:
-    """What a listing says: brand, models, sizes, colour, kind, accessory, price."""
-    title = folded(name or "")
-    body = re.sub(r"<[^>]*>", " ; ", folded(description or ""))
-    for offer in MARKETING:
-        title = re.sub(rf"(?<![a-z]){offer}!?(?![a-z])", " ", title)
-        body = re.sub(rf"(?<![a-z]){offer}!?(?![a-z])", " ", body)
+def features(name: str | None, description: str | None, price: str | None, known: Catalogue = HOUSEHOLD) -> dict:
+    """What a listing says: brand, models, sizes, colour, kind, accessory, price
+    and the other words of its name."""
+    title = known.offer.sub(" ", folded(name or ""))
+    body = known.offer.sub(" ", re.sub(r"<[^>]*>", " ; ", folded(description or "")))
     title, body = re.sub(r"\s+", " ", title), re.sub(r"ships in \d+ days?", " ", re.sub(r"\s+", " ", body))
-    kind, accessory = kind_of(title)
+    kind, accessory = known.kind_of(title)
     if not kind or not accessory:
-        told = kind_of(body)
+        told = known.kind_of(body)
         kind, accessory = kind or told[0], accessory or told[1]
-    sizes = sizes_of(body) | sizes_of(title)
+    sizes = sizes_of(title) + sizes_of(body)
     bare = SIZE.sub(" ", title)
     models = {"".join(m) for m in MODEL.findall(bare)}
     marked = " ".join(MARKED.findall(body))
-    models |= {"".join(m) for m in MODEL.findall(marked)} or set()
-    for s, _ in ALL_KINDS:
-        bare = re.sub(rf"(?<![a-z]){re.escape(s)}(?![a-z])", " ", bare)
+    models |= {"".join(m) for m in MODEL.findall(marked)}
+    bare = known.kind.sub(" ", bare)
     if not models:
-        models = {m.replace("-", "") for m in LOOSE.findall(bare) if sum(c.isdigit() for c in m) >= 3}
-    colour = next((c for text in (bare, body) for w in re.findall(r"[a-z]+", text) if (c := COLOUR.get(w))), "")
+        models = {m.replace("-", "") for m in LOOSE.findall(bare) if sum(c.isdigit() for c in m) >= 3} | {re.sub(r"\D", "", n) for n in NUMBER.findall(bare)}
+    plain = LOOSE.sub(" ", MODEL.sub(" ", bare))
+    colour = next((c for text in (plain, LOOSE.sub(" ", MODEL.sub(" ", body))) for w in known.colour.findall(text) if (c := known.colours.get(w))), "")
     brand = next(iter(re.findall(r"(?:made by|(?<= )by) ([a-z]+)", body) or re.findall(r"\bby ([a-z]+)", title)), "")
-    in_title = [w for w in re.findall(r"[a-z]{4,}", MODEL.sub(" ", bare)) if not vocabulary_like(w)]
+    in_title = [w for w in re.findall(r"[a-z]{4,}", MODEL.sub(" ", bare)) if not known.vocabulary_like(w)]
     if in_title and (not brand or brand not in in_title):
         near = [w for w in in_title if brand and spelled_alike(brand, w) >= 0.75]
         brand = near[0] if near else brand or in_title[0]
-    return {"brand": brand, "models": sorted(models), "sizes": sorted(sizes.items()), "colour": colour, "kind": kind, "accessory": accessory, "price": price_of(price)}
+    words = {w for w in re.findall(r"[^\W_]+", plain) if w not in known.vocabulary and w != brand and w not in models}
+    return {"brand": brand, "models": sorted(models), "sizes": sorted(set(sizes)), "colour": colour, "kind": kind, "accessory": accessory, "price": price_of(price), "words": sorted(words)}
 
 
 def same_brand(a: str, b: str) -> bool:
     return not a or not b or spelled_alike(a, b) >= 0.75
 
 
+def slipped(a: str, b: str) -> bool:
+    """Whether two different models may be one with a slip of the keys: a
+    character left out or put in before the end, or a letter for a digit.
+    Another digit or another ending is another model."""
+    if abs(len(a) - len(b)) == 1:
+        a, b = sorted((a, b), key=len)
+        at = next((i for i, c in enumerate(a) if c != b[i]), len(a))
+        return at < len(a) and a[at:] == b[at + 1 :]
+    apart = [(x, y) for x, y in zip(a, b) if x != y]
+    return len(a) == len(b) and len(apart) == 1 and apart[0][0].isdigit() != apart[0][1].isdigit()
+
+
+def other_sizes(a: list[tuple[str, float]], b: list[tuple[str, float]]) -> bool:
+    """Whether two listings state a dimension both, and no value of it alike."""
+    apart = {}
+    for k, v in a:
+        for j, w in b:
+            if j == k and v and w:
+                apart[k] = apart.get(k, True) and not 0.96 < v / w < 1.04
+    return any(apart.values())
+
+
+def same_price(a: float | None, b: float | None) -> bool | None:
+    return 0.88 < a / b < 1.14 if a and b else None
+
+
 def refuted(a: dict, b: dict) -> bool:
     """Stated values that two listings of one product can't differ in."""
     if a["accessory"] != b["accessory"] or (a["kind"] and b["kind"] and a["kind"] != b["kind"]) or (a["colour"] and b["colour"] and a["colour"] != b["colour"]):
         return True
-    if a["models"] and b["models"] and not set(a["models"]) & set(b["models"]):
+    if other_sizes(a["sizes"], b["sizes"]) or not same_brand(a["brand"], b["brand"]):
         return True
-    sizes = dict(a["sizes"])
-    return any(k in sizes and not 0.96 < v / sizes[k] < 1.04 for k, v in b["sizes"] if v and sizes.get(k)) or not same_brand(a["brand"], b["brand"])
+    if a["models"] and b["models"] and not set(a["models"]) & set(b["models"]):
+        # a slip, where everything else agrees
+        stated = a["brand"] == b["brand"] and a["brand"] and a["kind"] and b["kind"] and a["colour"] and b["colour"]
+        return not stated or same_price(a["price"], b["price"]) is False or not any(slipped(m, n) for m in a["models"] for n in b["models"])
+    return False
 
 
 def tokens(f: dict) -> list[str]:
+    """Normalised tokens: what is stated (``m b c k a s``), any three attributes
+    together (``x``) and other words (``w``)."""
     out = [f"m:{m}" for m in f["models"]]
     out += [f"{k[0]}:{f[k]}" for k in ("brand", "colour", "kind", "accessory") if f[k]]
-    out += [f"s:{k}:{v:.2g}" for k, v in f["sizes"]]
-    if f["brand"] and f["colour"] and f["kind"] and f["sizes"]:
-        out.append("x:" + "|".join([f["brand"], f["colour"], f["kind"], f["accessory"], *[f"{v:.2g}" for _, v in f["sizes"]]]))
+    out += [f"s:{k}:{v:.2g}" for k, v in f["sizes"]] + [f"w:{w}" for w in f["words"]]
+    stated = [f"{k[0]}:{f[k]}" for k in ("brand", "colour", "kind") if f[k]]
+    for values in [stated] + [[*stated[:i], *stated[i + 1 :], f"s:{k}:{v:.2g}"] for i in range(3) for k, v in f["sizes"]]:
+        if len(values) == 3:
+            out.append("x:" + "|".join([*values, f["accessory"]]))
     return sorted(set(out))
 
 
-FEATURES = "struct<brand:string,models:array<string>,sizes:array<struct<kind:string,value:double>>,colour:string,kind:string,accessory:string,price:double>"
+FEATURES = "struct<brand:string,models:array<string>,sizes:array<struct<kind:string,value:double>>,colour:string,kind:string,accessory:string,price:double,words:array<string>>"
 
 
-def parsed_listings(df: DataFrame, key: str) -> DataFrame:
+def parsed_listings(df: DataFrame, key: str, known: Catalogue = HOUSEHOLD) -> DataFrame:
     """``id, text, f, tokens`` of each listing; a repeated key counts once."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col("name").cast("string"), F.col("description").cast("string"), F.col("price").cast("string")).where("id is not null")
     rows = rows.groupBy("id").agg(F.max(F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("description", F.lit("")).alias("description"), "price")).alias("r")).select("id", "r.*", F.md5(F.to_json("r")).alias("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("brand", pa.string()), ("models", pa.list_(pa.string())), ("sizes", pa.list_(pa.struct([("kind", pa.string()), ("value", pa.float64())]))), ("colour", pa.string()), ("kind", pa.string()), ("accessory", pa.string()), ("price", pa.float64())])
+        kind = pa.struct([("brand", pa.string()), ("models", pa.list_(pa.string())), ("sizes", pa.list_(pa.struct([("kind", pa.string()), ("value", pa.float64())]))), ("colour", pa.string()), ("kind", pa.string()), ("accessory", pa.string()), ("price", pa.float64()), ("words", pa.list_(pa.string()))])
         for batch in batches:
-            found = [features(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("name", "description", "price")))]
+            found = [features(*r, known) for r in zip(*(batch.column(c).to_pylist() for c in ("name", "description", "price")))]
             told = [f | {"sizes": [{"kind": k, "value": v} for k, v in f["sizes"]]} for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(told, kind), pa.array([tokens(f) for f in found], pa.list_(pa.string()))], names=["id", "text", "f", "tokens"])
 
@@ -170,22 +217,27 @@ def star_clusters(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("stars did not settle")
 
 
-def same_listings(listings: list[tuple[DataFrame, str]], containment: float = 0.5, expand: int = 64, tile: int = 512) -> DataFrame:
+def same_listings(listings: list[tuple[DataFrame, str]], containment: float = 0.5, words_alike: float = 0.8, expand: int = 64, tile: int = 512, known: Catalogue = HOUSEHOLD) -> DataFrame:
     """``id_a, id_b``: listings of one product, within and across tables.
 
     ``listings`` are tables with ``name, description, price`` and the name of
     their id; ids don't overlap.  Names and descriptions become normalised
-    tokens (model, brand, sizes in base units, colour, kind, accessory), without
-    words of offers.  Tokens are weighted and ordered by rarity over all
-    listings.  Prefix filter: a pair whose shared weight is at least
-    ``containment`` of the lighter listing shares a token of that listing's
-    prefix, the tokens before the rest weighs less than that; a positional
-    filter bounds the weight both have left from that token on, a length filter
-    the lighter listing's weight.  Candidates are verified by their exact
-    weighted containment and by stated values that refute (another model, size
-    beyond 4 per cent, colour, kind, accessory).  Without a model on both
-    sides, brand, kind, colour and size must agree and prices be within 12 per
-    cent.  Star clustering then groups listings.
+    tokens (model, brand, sizes in base units, colour, kind, accessory, other
+    words), without words of offers; ``known`` says which words mean the same.
+    Tokens are weighted and ordered by rarity over all listings.  Prefix filter:
+    a pair whose shared weight is at least ``containment`` of the lighter listing
+    shares a token of that listing's prefix, the tokens before the rest weighs
+    less than that; a positional filter bounds the weight both have left from
+    that token on, a length filter the lighter listing's weight.  Of two listings
+    that state models the shared model heads both prefixes; where one states
+    none its prefix holds its rarest words and triples of attributes; models
+    with a slip of the keys meet on brand, kind and colour.  Candidates are
+    verified by their exact weighted containment and by stated values that
+    refute (another model, no size within 4 per cent, another colour, kind or
+    accessory).  Without a model on both sides brand, kind, colour and size must
+    agree, or, of goods whose kind isn't known, ``words_alike`` of the weight of
+    the lighter listing's words, three of them or more; prices must then be
+    within 12 per cent.  Star clustering then groups listings.
 
     Listings that say the same are one class and compared once; all of a star are
     paired, in salted tiles of ``tile`` listings.  Only copies of one text (name,
@@ -197,52 +249,62 @@ def same_listings(listings: list[tuple[DataFrame, str]], containment: float = 0.
     """
     parsed = None
     for df, key in listings:
-        part = parsed_listings(df, key)
+        part = parsed_listings(df, key, known)
         parsed = part if parsed is None else parsed.union(part)
     parsed = staged(parsed, "listings")
-    # a model tells the product, so its listings differ by price only within a class
-    said = F.to_json(F.col("f").withField("price", F.when(F.size("f.models") == 0, F.col("f.price"))))
+    # a model tells the product, so its listings differ by price and words only within a class
+    bare = F.size("f.models") == 0
+    said = F.to_json(F.col("f").withField("price", F.when(bare, F.col("f.price"))).withField("words", F.when(bare, F.col("f.words"))))
     told = parsed.where(F.size("tokens") > 0).withColumn("said", said)
     reps = staged(told.groupBy("said").agg(F.min("id").alias("rep"), F.max("f.price").alias("price")), "listings")
     copies = told.groupBy("said", "text").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     members = told.select("id", "said", "text").join(copies, ["said", "text"]).join(reps, "said").select("id", "rep", "first", "n")
     heads = parsed.join(reps.select(F.col("rep").alias("id"), F.col("price").alias("most")), "id")
-    heads = staged(heads.select("id", F.col("f").withField("price", F.col("most")).alias("f"), "tokens"), "listings")
-    exploded = heads.select("id", F.explode("tokens").alias("token"))
+    heads = staged(heads.select("id", F.col("f").withField("price", F.col("most")).alias("f"), F.array_sort(F.col("f.models")).alias("models"), "tokens"), "listings")
+    exploded = heads.select("id", (F.size("models") == 0).alias("bare"), F.explode("tokens").alias("token"))
     total = heads.count()
     counted = exploded.groupBy("token").agg(F.log(1 + F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
-    weighed = exploded.where("token not like 'x:%'").join(counted, "token")
-    # models first, then the rarest; rest is the weight from the token on.  Two
-    # listings with models must share one, so only models need to probe
-    order = Window.partitionBy("id").orderBy(F.desc(F.col("token").startswith("m:")), F.desc("w"), "token")
-    weighed = weighed.withColumn("rest", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("whole", F.sum("w").over(Window.partitionBy("id")))
-    weighed = staged(weighed, "tokens")
-    # a token opens the prefix while the weight from it on could still reach the bound
-    probe = weighed.where(F.col("rest") >= F.col("whole") * F.lit(containment)).where(F.col("token").startswith("m:"))
-    index = weighed.select("token", F.col("id").alias("other"), F.col("rest").alias("rest_b"), F.col("whole").alias("whole_b"))
-    pairs = probe.join(index, "token").where("id <> other and whole <= whole_b * 1.000001 and whole >= 0.4 * whole_b").where(F.least("rest", "rest_b") >= F.lit(containment) * F.col("whole") * 0.999999)
-    # listings without a model meet those that agree in everything else
-    whole = exploded.where("token like 'x:%'")
-    bare = whole.join(heads.where(F.size("f.models") == 0).select("id"), "id", "left_semi")
-    pairs = pairs.select("id", "other").union(bare.join(whole.withColumnRenamed("id", "other"), "token").where("id <> other").select("id", "other"))
+    kind = F.substring("token", 1, 1)
+    # rest is the weight from a token on, in the order of rarity; models first
+    order = Window.partitionBy("id", "part").orderBy(F.desc(kind == "m"), F.desc("w"), "token").rowsBetween(0, Window.unboundedFollowing)
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rest", F.sum("w").over(order)).withColumn("whole", F.sum("w").over(Window.partitionBy("id", "part")))
+
+    rare = exploded.join(counted, "token")
+    # what is stated, for pairs with models, and words and triples, for the others
+    weighed = staged(ordered(rare.withColumn("part", F.when(kind.isin("x", "w"), "w").otherwise("m"))), "tokens")
+    probe = weighed.where(F.col("rest") >= F.col("whole") * F.lit(containment)).where((kind == "m") | F.col("bare") & kind.isin("x", "w"))
+    index = weighed.select("token", F.col("id").alias("other"), F.col("rest").alias("rest_b"), F.col("whole").alias("whole_b"), F.col("bare").alias("bare_b"))
+    met = probe.join(index, "token").where("id <> other")
+    met = met.where((kind != "m") | (F.col("whole") <= F.col("whole_b") * 1.000001) & (F.least("rest", "rest_b") >= F.lit(containment) * F.col("whole") * 0.999999))
+    pairs = met.select("id", "other")
+    # slips: one edit between models of one brand, kind and colour
+    alike_ = heads.where("size(models) > 0 and f.brand <> '' and f.kind <> '' and f.colour <> ''").select(F.xxhash64("f.brand", "f.kind", "f.colour", "f.accessory").alias("block"), "id", "models")
+    near = pairs_within(staged(alike_, "blocks"), "block", "id", tile, ("models",)).where("not arrays_overlap(models, other_models) and exists(models, m -> exists(other_models, n -> levenshtein(m, n) = 1))")
+    pairs = pairs.union(near.select("id", "other"))
     pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     heavy = weighed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("w"))  # a few tokens a listing
     told = heads.select("id", "f").join(heavy, "id")
     both = pairs.join(told.select(F.col("id").alias("a"), F.col("f").alias("fa"), F.col("w").alias("wa")), "a").join(told.select(F.col("id").alias("b"), F.col("f").alias("fb"), F.col("w").alias("wb")), "b")
 
+    def contained(wa: dict, wb: dict, kinds: str) -> float:
+        a, b = ({t: w for t, w in x.items() if t[0] in kinds} for x in (wa, wb))
+        return sum(w for t, w in a.items() if t in b) / max(1e-9, min(sum(a.values()), sum(b.values())))
+
+    def verified(a: dict, b: dict, wa: dict, wb: dict) -> bool:
+        if refuted(a, b):
+            return False
+        if a["models"] and b["models"]:
+            return not set(a["models"]) & set(b["models"]) or contained(wa, wb, "mbckas") >= containment
+        price = same_price(a["price"], b["price"])
+        if a["kind"] or b["kind"]:
+            return bool(price and a["brand"] and b["brand"] and a["kind"] == b["kind"] and a["colour"] and a["colour"] == b["colour"] and a["sizes"] and b["sizes"])
+        return price is not False and len(set(a["words"] + [a["brand"]]) & set(b["words"] + [b["brand"]])) >= 3 and contained(wa, wb, "wb") >= words_alike
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for fa, fb, wa, wb in zip(*(batch.column(c).to_pylist() for c in ("fa", "fb", "wa", "wb"))):
-                a, b, wa, wb = _plain(fa), _plain(fb), dict(wa), dict(wb)
-                near = sum(w for t, w in wa.items() if t in wb) / max(1e-9, min(sum(wa.values()), sum(wb.values())))
-                ok = not refuted(a, b)
-                if a["models"] and b["models"]:
-                    ok = ok and near >= containment
-                elif ok:
-                    ok = bool(a["brand"] and b["brand"] and a["kind"] and a["colour"] and a["colour"] == b["colour"] and a["sizes"] and b["sizes"] and a["price"] and b["price"]) and 0.88 < a["price"] / b["price"] < 1.14
-                keep.append(ok)
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([verified(_plain(fa), _plain(fb), dict(wa), dict(wb)) for fa, fb, wa, wb in zip(*(batch.column(c).to_pylist() for c in ("fa", "fb", "wa", "wb")))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     links = staged(both.select("a", "b", "fa", "fb", "wa", "wb").mapInArrow(verify, "a long, b long"), "links")

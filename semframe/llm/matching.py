@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semframe.llm.listings import features, refuted
+from semframe.llm.listings import HOUSEHOLD, Catalogue, features, other_sizes, refuted, same_price
 from semframe.llm.names import Words, folded, learned_words, parse, same_organisation, same_person, sounded
 from semframe.memo import memo
 from semframe.runtime import staged
@@ -35,23 +36,30 @@ def dice(a: str, b: str) -> float:
 
 
 @memo
-def gram_bits(tag: str, gram: str, hashes: int) -> tuple[int, ...]:
+def gram_bits(tag: str, gram: str, hashes: int) -> int:
     h = zlib.crc32(f"{tag}:{gram}".encode())
     step = zlib.crc32(f"{gram}:{tag}".encode()) | 1
-    return tuple((h + i * step) % (1 << 32) * BITS >> 32 for i in range(hashes))
+    bits = 0
+    for i in range(hashes):
+        bits |= 1 << ((h + i * step) % (1 << 32) * BITS >> 32)
+    return bits
 
 
-def bit_vector(fields: dict[str, str]) -> np.ndarray:
+def bit_vector(fields: dict[str, str]) -> int:
     """Bits of the q-grams of all fields, about half of them set: the number of
     hashes follows the number of q-grams, in steps that leave near texts equal."""
     every = [(tag, g) for tag, text in fields.items() for g in grams(text)]
     hashes = next((k for most, k in ((8, 20), (14, 12), (24, 7), (40, 5), (70, 3)) if len(every) <= most), 2)
-    out = np.zeros(BITS, bool)
+    out = 0
     for tag, g in every:
-        out[list(gram_bits(tag, g, hashes))] = True
+        out |= gram_bits(tag, g, hashes)
     return out
 
 
+def as_longs(bits: int) -> list[int]:
+    return [int.from_bytes(part, "little", signed=True) for part in (bits.to_bytes(BITS // 8, "little")[i : i + 8] for i in range(0, BITS // 8, 8))]
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``l, r``: ids of all vectors within ``radius`` bits, exactly.
 
@@ -120,20 +128,27 @@ def song(row: dict, known: Words) -> dict:
     return {"title": title, "version": version, "kind": kind, "core": core, "rest": rest, "surname": surname, "album": album, "year": day[0] if day else None, "month": day[1] if day else 0, "day": day[2] if day else 0, "secs": seconds(row["track_time"])}
 
 
-def song_codes(f: dict) -> list[dict[str, str]]:
-    """Attributes that are encoded together: any two of title, artist and album."""
-    known = [(tag, f[name]) for tag, name in (("t", "title"), ("a", "surname"), ("b", "album")) if f[name]]
-    return [dict(two) for i, one in enumerate(known) for two in ((one, other) for other in known[i + 1 :])]
+def shared_grams(text: str, least: float = 0.6) -> list[str]:
+    """Q-grams of a text of which two texts with a Dice score of at least
+    ``least`` share one: those have at least ``least / (2 - least)`` of either's
+    q-grams in common, so in any fixed order as many of the last ones may be
+    left out, but one."""
+    every = sorted(grams(text), key=lambda g: (zlib.crc32(g.encode()), g))
+    return every[: len(every) - math.ceil(least / (2 - least) * len(every)) + 1]
 
 
-def song_buckets(f: dict, left: bool) -> list[str]:
-    """Values of which a true pair of songs shares one."""
-    other = [f"b{f['album'][:3]}" if f["album"] else "", f"y{f['year']}" if f["year"] else ""]
+def song_codes(f: dict, left: bool) -> list[tuple[dict[str, str], list[str]]]:
+    """Attributes that are encoded together, any two of title, artist and album,
+    with values of which a pair that ``song_pair`` doesn't refute shares one:
+    times within 6 seconds or, if one side has none, a year or alike albums."""
+    known = [(tag, f[name]) for tag, name in (("t", "title"), ("a", "surname"), ("b", "album")) if f[name]]
+    other = [f"b{g}" for g in shared_grams(f["album"])] + ([f"y{f['year']}"] if f["year"] else [])
     own, them = ("L", "R") if left else ("R", "L")
     if f["secs"] is None:
-        return [own + o for o in other if o] + [them + o for o in other if o]
-    around = [f["secs"] // 6] if left else [f["secs"] // 6 + d for d in (-1, 0, 1)]
-    return [f"s{n}" for n in around] + [them + o for o in other if o]
+        met = [own + o for o in other] + [them + o for o in other]
+    else:
+        met = [f"s{n}" for n in ([f["secs"] // 6] if left else [f["secs"] // 6 + d for d in (-1, 0, 1)])] + [them + o for o in other]
+    return [(dict(two), met) for i, one in enumerate(known) for two in ((one, more) for more in known[i + 1 :])]
 
 
 def song_pair(a: dict, b: dict, known: Words) -> tuple[float, bool]:
@@ -164,20 +179,31 @@ def song_pair(a: dict, b: dict, known: Words) -> tuple[float, bool]:
     return score, against
 
 
-def product(row: dict) -> dict:
-    f = features(row["name"], row["description"], row["price"])
-    # a model tells the product, so rows that differ in their price only are one
-    return f | {"price": None, "~price": f["price"]} if f["models"] else f
+def product(row: dict, known: Catalogue = HOUSEHOLD) -> dict:
+    f = features(row["name"], row["description"], row["price"], known)
+    # a model tells the product, so rows that differ in price and words only are one
+    return f | {"price": None, "~price": f["price"], "words": []} if f["models"] else f
 
 
-def product_codes(f: dict) -> list[dict[str, str]]:
-    if f["models"]:
-        return [{"m": m} for m in f["models"]]
-    return [{"b": sounded(f["brand"]), "x": f["colour"] + f["kind"] + f["accessory"] + "".join(f"{v:.2g}" for _, v in f["sizes"])}] if f["brand"] else []
+def product_codes(f: dict, left: bool) -> list[tuple[dict[str, str], list[str]]]:
+    """Models, their digits with the brand, and what else is stated; the latter
+    only meets where a side states no model."""
+    codes: list[tuple[dict[str, str], list[str]]] = []
+    for m in f["models"]:
+        codes.append(({"m": m}, ["m"]))
+        if f["brand"]:
+            codes.append(({"d": re.sub(r"\D", "", m), "b": sounded(f["brand"])}, ["d"]))
+    stated = f["colour"] + f["kind"] + f["accessory"]
+    if f["brand"]:
+        one = [f"{'lr'[left]}1"] if f["models"] else [f"{'rl'[left]}1", "0"]
+        for k, v in f["sizes"] or [("", 0.0)]:
+            codes.append(({"b": sounded(f["brand"]), "x": f"{stated}{k}{v:.2g}"}, one))
+        if f["words"] and not f["kind"]:
+            codes.append(({"b": sounded(f["brand"]), "w": " ".join(f["words"])}, one))
+    return codes
 
 
 def product_pair(a: dict, b: dict) -> tuple[float, bool]:
-    x, y = dict(a["sizes"]), dict(b["sizes"])
     a, b = (f | {"price": f["price"] or f.get("~price")} for f in (a, b))
     near = [(0.25, dice(sounded(a["brand"]), sounded(b["brand"])))]
     if a["models"] and b["models"]:
@@ -185,14 +211,20 @@ def product_pair(a: dict, b: dict) -> tuple[float, bool]:
     for k, w in (("colour", 0.1), ("kind", 0.1)):
         if a[k] and b[k]:
             near.append((w, dice(a[k], b[k])))
-    if shared := x.keys() & y.keys():
-        near.append((0.1, float(all(0.96 < x[k] / y[k] < 1.04 for k in shared if y[k]))))
-    prices = a["price"] / b["price"] if a["price"] and b["price"] else None
-    if prices is not None:
-        near.append((0.05, max(0.0, 1 - abs(np.log(prices)) * 2)))
+    if {k for k, _ in a["sizes"]} & {k for k, _ in b["sizes"]}:
+        near.append((0.1, float(not other_sizes(a["sizes"], b["sizes"]))))
+    words = dice(" ".join(a["words"]), " ".join(b["words"])) if a["words"] and b["words"] else None
+    if words is not None:
+        near.append((0.2, words))
+    if a["price"] and b["price"]:
+        near.append((0.05, max(0.0, 1 - abs(math.log(a["price"] / b["price"])) * 2)))
     against = refuted(a, b)
     if not (a["models"] and b["models"]):
-        against = against or not (a["brand"] and b["brand"] and a["kind"] and a["colour"] and b["colour"] and x and y and prices is not None and 0.88 < prices < 1.14)
+        price = same_price(a["price"], b["price"])
+        if a["kind"] or b["kind"]:
+            against = against or not (a["brand"] and b["brand"] and a["kind"] == b["kind"] and a["colour"] and b["colour"] and a["sizes"] and b["sizes"] and price)
+        else:
+            against = against or price is False or words is None or words < 0.7 or len(set(a["words"] + [a["brand"]]) & set(b["words"] + [b["brand"]])) < 3
     return sum(w * d for w, d in near) / sum(w for w, _ in near), against
 
 
@@ -216,16 +248,16 @@ def calibration(scored: DataFrame, bins: int = 50) -> list[float]:
     return found.tolist()
 
 
-def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: str, columns: list[str], describe: Callable[[dict], dict], codes: Callable[[dict], list[dict[str, str]]], compare: Callable[[dict, dict], tuple[float, bool]], buckets: Callable[[dict, bool], list[str]] | None = None, min_confidence: float = 0.5, expand: int | None = 64, tile: int = 512) -> DataFrame:
+def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: str, columns: list[str], describe: Callable[[dict], dict], codes: Callable[[dict, bool], list[tuple[dict[str, str], list[str]]]], compare: Callable[[dict, dict], tuple[float, bool]], min_confidence: float = 0.5, expand: int | None = 64, tile: int = 512) -> DataFrame:
     """``left_key, right_key, score, confidence`` of rows that mean the same.
 
     ``describe`` turns a row (the given columns) into attributes (numbers whose
     name begins with ``~`` don't make rows different, the largest counts), ``codes``
     names those that are encoded together as 256 bits of their q-grams, and all
     pairs of vectors within 15 bits are found exactly by multi-index hashing
-    over the distinct vectors.  ``buckets`` gives values of which a true pair
-    shares at least one, so that even a vector which a third of all rows have
-    does not pair them all.  ``compare`` gives the field-weighted Dice score of
+    over the distinct vectors.  With each it gives values of which any pair that
+    ``compare`` would keep shares at least one, so that even a vector which a
+    third of all rows have does not pair them all.  ``compare`` gives the field-weighted Dice score of
     a pair and whether stated values refute it; scores become confidences by
     ``calibration``.
 
@@ -245,18 +277,18 @@ def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: s
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                said, loose, bits, own = [], [], [], []
+                said, loose, bits = [], [], []
                 for row in batch.select(columns).to_pylist():
                     f = describe(row)
                     said.append(json.dumps({k: v for k, v in f.items() if k[0] != "~"}, sort_keys=True))
                     loose.append([(k, float(v)) for k, v in f.items() if k[0] == "~" and v is not None])
-                    bits.append([np.packbits(bit_vector(c)).view(np.int64).tolist() for c in codes(f)])
-                    own.append(buckets(f, is_left) if buckets else [""])
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), pa.array(said, pa.string()), pa.array(loose, pa.map_(pa.string(), pa.float64())), pa.array(bits, pa.list_(pa.list_(pa.int64()))), pa.array(own, pa.list_(pa.string()))], names=["key", "text", "said", "loose", "codes", "buckets"])
+                    bits.append([{"bits": as_longs(bit_vector(c)), "met": met} for c, met in codes(f, is_left)])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), pa.array(said, pa.string()), pa.array(loose, pa.map_(pa.string(), pa.float64())), pa.array(bits, coded)], names=["key", "text", "said", "loose", "codes"])
 
+        coded = pa.list_(pa.struct([("bits", pa.list_(pa.int64())), ("met", pa.list_(pa.string()))]))
         rows = rows.withColumn("text", F.md5(F.to_json(F.struct(*columns))))
-        encoded = staged(rows.mapInArrow(encode, "key long, text string, said string, loose map<string,double>, codes array<array<long>>, buckets array<string>"), "encoded")
-        groups = staged(encoded.groupBy("said").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n"), F.max(F.struct(F.try_element_at(F.map_values("loose"), F.lit(1)).alias("most"), F.to_json("loose").alias("loose"))).alias("l"), F.first("codes").alias("codes"), F.first("buckets").alias("buckets")), "encoded")
+        encoded = staged(rows.mapInArrow(encode, "key long, text string, said string, loose map<string,double>, codes array<struct<bits:array<long>,met:array<string>>>"), "encoded")
+        groups = staged(encoded.groupBy("said").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n"), F.max(F.struct(F.try_element_at(F.map_values("loose"), F.lit(1)).alias("most"), F.to_json("loose").alias("loose"))).alias("l"), F.first("codes").alias("codes")), "encoded")
         groups = groups.withColumn("loose", F.col("l.loose")).drop("l")
         members = encoded.select("key", "text", "said")
         if expand is not None:
@@ -270,18 +302,19 @@ def match_records(left: DataFrame, left_key: str, right: DataFrame, right_key: s
     (a, a_members), (b, b_members) = side(left, left_key, True), side(right, right_key, False)
 
     def vectors(groups: DataFrame) -> DataFrame:
-        return groups.select("id", "buckets", F.explode("codes").alias("bits")).withColumn("v", F.xxhash64("bits"))
+        return groups.select("id", F.explode("codes").alias("c")).select("id", "c.bits", "c.met").withColumn("v", F.xxhash64("bits"))
 
     va, vb = vectors(a), vectors(b)
     close = staged(hamming_pairs(va.select(F.col("v").alias("id"), "bits").dropDuplicates(["id"]), vb.select(F.col("v").alias("id"), "bits").dropDuplicates(["id"])), "close")
-    x = va.select(F.col("v").alias("l"), F.col("id").alias("a"), F.explode(F.array_distinct("buckets")).alias("bucket"))
-    y = vb.select(F.col("v").alias("r"), F.col("id").alias("b"), F.explode(F.array_distinct("buckets")).alias("bucket"))
+    x = va.select(F.col("v").alias("l"), F.col("id").alias("a"), F.explode(F.array_distinct("met")).alias("bucket"))
+    y = vb.select(F.col("v").alias("r"), F.col("id").alias("b"), F.explode(F.array_distinct("met")).alias("bucket"))
     pairs = close.join(x, "l").join(y, ["r", "bucket"]).select("a", "b").distinct()
     both = pairs.join(a.select(F.col("id").alias("a"), F.col("said").alias("fa"), F.col("loose").alias("la")), "a").join(b.select(F.col("id").alias("b"), F.col("said").alias("fb"), F.col("loose").alias("lb")), "b").select("a", "b", "fa", "fb", "la", "lb")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = memo(json.loads)  # one row is in many pairs
         for batch in batches:
-            told = [compare(json.loads(p) | json.loads(x or "{}"), json.loads(q) | json.loads(y or "{}")) for p, q, x, y in zip(*(batch.column(c).to_pylist() for c in ("fa", "fb", "la", "lb")))]
+            told = [compare(read(p) | read(x or "{}"), read(q) | read(y or "{}")) for p, q, x, y in zip(*(batch.column(c).to_pylist() for c in ("fa", "fb", "la", "lb")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([t[0] for t in told], pa.float64()), pa.array([t[1] for t in told], pa.bool_())], names=["a", "b", "score", "refuted"])
 
     scored = staged(both.mapInArrow(score, "a long, b long, score double, refuted boolean"), "scored")
@@ -302,7 +335,7 @@ def match_songs(left: DataFrame, right: DataFrame, expand: int | None = 64, word
     if words is None:
         artists = left.select("artist_name").union(right.select("artist_name")).distinct().select(F.lit("artist").alias("g"), "artist_name", F.lit("?").alias("k"))
         words = learned_words(artists, "g", "artist_name", "k").get("artist", Words())
-    return match_records(left, "sno_left", right, "sno_right", ["album_name", "artist_name", "released", "song_name", "track_time"], partial(song, known=words), song_codes, partial(song_pair, known=words), song_buckets, expand=expand)
+    return match_records(left, "sno_left", right, "sno_right", ["album_name", "artist_name", "released", "song_name", "track_time"], partial(song, known=words), song_codes, partial(song_pair, known=words), expand=expand)
 
 
 def match_products(left: DataFrame, right: DataFrame, expand: int | None = 64) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 
 from semframe.llm import queries as Q
-from semframe.llm.listings import features, parsed_listings, price_of, refuted, same_listings, star_clusters, tokens
-from semframe.llm.matching import bit_vector, calibration, dice, hamming_pairs, match_products, match_records, match_songs, released, seconds, song, song_buckets, song_codes, song_pair, title_of
+from semframe.llm.listings import features, parsed_listings, price_of, refuted, same_listings, slipped, star_clusters, tokens
+from semframe.llm.matching import as_longs, bit_vector, calibration, dice, hamming_pairs, match_products, match_records, match_songs, released, seconds, shared_grams, song, song_codes, song_pair, title_of
 from semframe.llm.names import Words, alike, block_keys, learned_words, link_names, parse, person_tokens, same_person
 from semframe.operators.tiles import pairs_within
 
@@ -140,6 +140,34 @@ def test_listings_of_a_popular_product_are_all_paired(spark):
         assert {(r.id_a, r.id_b) for r in same_listings([(offers(spark, rows), "id_x")], expand=10, **options).collect()} == want
 
 
+OTHER_GOODS = [
+    (1, "Dune by Frank Herbert, Paperback", "A desert planet", "$9.99"), (2, "Frank Herbert: DUNE (paperback)", None, "USD 10.20"), (3, "Dune Messiah by Frank Herbert, Paperback", None, "$9.50"), (4, "Emma by Jane Austen, Hardcover", None, "$12"),
+    (5, "Corsar Trailrunner Gale Shoe Men 42 EU", None, "80"), (6, "corsar gale trailrunner men shoe 42 eu", "in stock", "82.50"), (7, "Corsar Trailrunner Gale Shoe Men 43 EU", None, "80"), (8, "Corsar Trailrunner Gale Shoe Men 42 EU", None, "140"),
+    (9, "Atlas of Rivers 978-3-16-148410-0", None, None), (10, "River atlas (ISBN 9783161484100)", None, "$20"),
+]
+
+
+def test_goods_of_no_known_kind(spark):
+    """Books and shoes: no word of them is in any list."""
+    filler = [(100 + i, f"{prose_word(i)} {prose_word(i + 50)} {prose_word(i + 90)} Hardcover", None, "$5") for i in range(40)]
+    got = {(r.id_a, r.id_b) for r in same_listings([(offers(spark, OTHER_GOODS + filler), "id_x")]).collect()}
+    assert got >= {(1, 2), (5, 6)} and not {(3, 4), (5, 8), (1, 4), (6, 8)} & got, got
+
+
+def prose_word(i):
+    return "".join("bdfgklmnprstvz"[(i * 7 + j * 5 + i // 14) % 14] + "aeiou"[(i + j * 3) % 5] for j in range(4)).title()
+
+
+def test_slips_of_models():
+    assert slipped("pum3778", "pu3778") and slipped("cds760", "cds7160") and slipped("buq090e", "buq0904")
+    assert not slipped("tyf7490", "tyf7480") and not slipped("jer1288", "jer1288s") and not slipped("abc1", "abc1")
+
+
+def test_containment_has_no_bound_on_the_heavier_listing(spark):
+    terse, wordy = (1, "Siritonoth SRT-4010S", None, None), (2, "Siritonoth LCD TV SRT-4010S 32 inch white 4 kg 120 W 16 MP", "Model srt4010s also fits srt4011s and srt4020s, srt4030s, srt4040s", "$300")
+    assert {(r.id_a, r.id_b) for r in same_listings([(offers(spark, [terse, wordy]), "id_x")]).collect()} == {(1, 2)}
+
+
 def test_listing_join_is_brute_force(spark):
     r = random.Random(4)
     rows = []
@@ -202,7 +230,7 @@ def test_every_copy_is_matched_where_asked(spark):
     right = songs(spark, [(200 + i, *SONGS_R[0][1:]) for i in range(70)], "sno_right")
     assert match_songs(left, right, expand=None, words=WORDS).distinct().count() == 90 * 70
     columns = ["album_name", "artist_name", "released", "song_name", "track_time"]
-    tiled = match_records(left, "sno_left", right, "sno_right", columns, partial(song, known=WORDS), song_codes, partial(song_pair, known=WORDS), song_buckets, expand=None, tile=8)
+    tiled = match_records(left, "sno_left", right, "sno_right", columns, partial(song, known=WORDS), song_codes, partial(song_pair, known=WORDS), expand=None, tile=8)
     assert tiled.count() == tiled.distinct().count() == 90 * 70
 
 
@@ -230,7 +258,9 @@ def test_song_parts():
     assert [released(t) for t in ("1975-12-08", "07-Jul-81", "11/27/2017", "June 12, 1986", "2003", "x", None)] == [(1975, 12, 8), (1981, 7, 7), (2017, 11, 27), (1986, 6, 12), (2003, 0, 0), None, None]
     assert title_of("Area (feat. Various) [Acousic]") == ("area", "acoustic") and title_of("Live Wire - Single Version") == ("live wire", "") and title_of(None) == ("", "")
     assert dice("night", "night") == 1 and dice("", "") == 0 and 0.4 < dice("night", "nacht") < 0.6
-    assert (bit_vector({"t": "some title"}) != bit_vector({"t": "some titel"})).sum() < 60 and not bit_vector({}).any()
+    assert (bit_vector({"t": "some title"}) ^ bit_vector({"t": "some titel"})).bit_count() < 60 and not bit_vector({})
+    assert as_longs(1 | 1 << 127 | 1 << 255) == [1, -(2**63), 0, -(2**63)]
+    assert set(shared_grams("some title")) & set(shared_grams("som titel")) and shared_grams("") == []
     keys = ("album_name", "artist_name", "released", "song_name", "track_time")
     a, b = (song(dict(zip(keys, r[1:])), WORDS) for r in (SONGS_L[0], SONGS_R[3]))
     assert song_pair(a, b, WORDS)[1]  # a cover
