@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semframe.functions.models.roles import Embedding, Generator, with_embeddings
@@ -101,22 +101,32 @@ def set_of(name: str) -> Column:
 
 @dataclass
 class CustomAgg(Aggregation):
-    """A function of the list of a group's values, or a fold over it from a
-    start value (or from the first value)."""
+    """An aggregate of one's own: ``native`` makes an aggregate expression of
+    the column, which combines before the shuffle; ``fold`` (from ``start``, or
+    from the first value) is run by parts of a group, whose results are put
+    together by ``merge``; ``function`` needs all values of a group in one list,
+    so it suits groups that fit a worker only."""
 
     output_type: str = "double"
     function: Callable[[list], object] | None = field(default=None, compare=False)
     fold: Callable[[object, object], object] | None = field(default=None, compare=False)
     start: object = None
+    merge: Callable[[object, object], object] | None = field(default=None, compare=False)
+    native: Callable[[Column], Column] | None = field(default=None, compare=False)
 
     def __post_init__(self):
-        if (self.function is None) == (self.fold is None):
-            raise ValueError("give either a function or a fold")
+        if sum(x is not None for x in (self.function, self.fold, self.native)) != 1:
+            raise ValueError("give either a function, a fold or a native expression")
+        if self.merge is not None and self.fold is None:
+            raise ValueError("merge goes with a fold")
 
     def column(self):
-        from functools import reduce
+        if self.native is not None:
+            return self.native(quoted(self.source))
+        return self._over(self.source, self.function, self.fold, self.start)
 
-        function, fold, start = self.function, self.fold, self.start
+    def _over(self, source, function, fold, start):
+        from functools import reduce
 
         def run(values: pd.Series):
             told = values.tolist()
@@ -125,11 +135,29 @@ class CustomAgg(Aggregation):
             return reduce(fold, told) if start is None else reduce(fold, told, start)
 
         run.__annotations__ = {"values": pd.Series, "return": float}
-        return F.pandas_udf(run, self.output_type)(quoted(self.source))
+        return F.pandas_udf(run, self.output_type)(quoted(source))
+
+    def parts(self) -> tuple[Column, Column]:
+        """The aggregate of a part of a group and that of the parts."""
+        return self._over(self.source, None, self.fold, self.start).alias(self.output), self._over(self.output, None, self.merge, None).alias(self.output)
 
     __str__ = Aggregation.__str__
 
 
+def _in_parts(relation: Relation, keys: list[str], aggregations: list[Aggregation], rows: int = 10_000) -> DataFrame | None:
+    """Groups in salted parts of about ``rows`` values, if all aggregates are
+    folds with a merge."""
+    if not keys or not all(isinstance(a, CustomAgg) and a.merge is not None for a in aggregations):
+        return None
+    told = [a.parts() for a in aggregations]
+    cells = [quoted(k) for k in keys]
+    sizes = relation.df.groupBy(*[c.alias(f"__k{i}") for i, c in enumerate(cells)]).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("__n"))
+    same = [c.eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(cells)]
+    placed = relation.df.join(sizes, same).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.col("__n")))
+    parts = placed.groupBy(*cells, "__part").agg(*[a for a, _ in told])
+    return parts.groupBy(*cells).agg(*[b for _, b in told])
+
+
 def hash_aggregate(relation: Relation, keys: list[str], aggregations: list[Aggregation]) -> Relation:
     """Group by equal keys; null keys form a group.
 
@@ -142,6 +170,8 @@ def hash_aggregate(relation: Relation, keys: list[str], aggregations: list[Aggre
     ordered = [c for c in relation.columns if c in keys]
     cells = [a.column().alias(a.output) for a in aggregations]
     text = f"aggregate [{', '.join(ordered)}; {', '.join(map(str, aggregations))}]"
+    if (parts := _in_parts(relation, ordered, aggregations)) is not None:
+        return relation.derive(parts, text)
     if ordered:
         return relation.derive(relation.df.groupBy(*[quoted(k) for k in ordered]).agg(*cells), text)
     if any(isinstance(a, CustomAgg) for a in aggregations):

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semframe.functions.vector import normalized
+from semframe.operators.cells import Forest, near_blocks
 from semframe.operators.components import connected_components
-from semframe.operators.joins import similar_pairs
 from semframe.runtime import staged
 
 
@@ -52,29 +52,39 @@ class DBSCANClusterer(Clusterer):
     ``eps`` (themselves included) and what they reach.  Exact; a border point
     joins the cluster with the smallest label among its core neighbours."""
 
-    def __init__(self, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean", physical: str = "auto"):
+    def __init__(self, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean"):
         if metric not in ("euclidean", "cosine"):
             raise ValueError(f"no metric {metric}")
-        self.eps, self.min_samples, self.metric, self.physical = eps, min_samples, metric, physical
+        self.eps, self.min_samples, self.metric = eps, min_samples, metric
 
     def fit(self, points):
+        """No pair of points is written: neighbours are counted, and links of
+        core points come out as a forest, block by block."""
         vectors = points.select("id", (normalized(F.col("v")) if self.metric == "cosine" else F.col("v").cast("array<double>")).alias("v"))
         rows = staged(vectors, "points")
-        l, r = rows.withColumnRenamed("id", "l"), rows.withColumnRenamed("id", "r")
         # next numbers beyond the bound make the strict comparison inclusive
-        if self.metric == "cosine":
-            near = similar_pairs(l, r, float(np.nextafter(1 - self.eps, -2)), "ip", self.physical)
-        else:
-            near = similar_pairs(l, r, float(np.nextafter(self.eps**2, np.inf)), "l2", self.physical)
-        near = staged(near.select("l", "r").union(rows.select(F.col("id").alias("l"), F.col("id").alias("r"))).distinct(), "near")
-        core = staged(near.groupBy("l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_samples).select(F.col("l").alias("id")), "core")
-        cores = near.join(core.withColumnRenamed("id", "l"), "l", "left_semi")
-        links = cores.join(core.withColumnRenamed("id", "r"), "r", "left_semi").where("l <> r")
-        labels = connected_components(links, "l", "r")
-        inside = staged(core.join(labels, core.id == labels.node, "left").select("id", F.coalesce("label", "id").alias("cluster")), "labels")
-        border = cores.join(inside.select(F.col("id").alias("l"), "cluster"), "l").groupBy("r").agg(F.min("cluster").alias("cluster")).withColumnRenamed("r", "id")
-        border = border.join(core, "id", "left_anti")
-        found = inside.union(border)
+        bound, metric = (float(np.nextafter(1 - self.eps, -2)), "ip") if self.metric == "cosine" else (float(np.nextafter(self.eps**2, np.inf)), "l2")
+
+        def counted(_, hit, qids, eids):
+            return [qids, (hit & (qids[:, None] != eids[None, :])).sum(1)]
+
+        many = near_blocks(rows, rows, bound, metric, counted, "id long, n long").groupBy("id").agg((F.sum("n") + 1).alias("n"))
+        core = staged(rows.join(many, "id", "left").where(F.coalesce("n", F.lit(1)) >= self.min_samples).select("id", "v"), "core")
+        forest = Forest()
+
+        def linked(_, hit, qids, eids):
+            return forest.links(hit & (qids[:, None] != eids[None, :]), qids, eids)
+
+        labels = connected_components(near_blocks(core, core, bound, metric, linked, "l long, r long"), "l", "r")
+        inside = staged(core.join(labels, core.id == labels.node, "left").select("id", F.coalesce("label", "id").alias("cluster"), "v"), "labels")
+
+        def least(_, hit, qids, labels):
+            some = np.flatnonzero(hit.any(1))
+            return [qids[some], np.where(hit[some], labels[None, :], np.iinfo(np.int64).max).min(1)]
+
+        outside = staged(rows.join(core, "id", "left_anti"), "border")
+        border = near_blocks(outside, inside.select(F.col("cluster").alias("id"), "v"), bound, metric, least, "id long, cluster long").groupBy("id").agg(F.min("cluster").alias("cluster"))
+        found = inside.select("id", "cluster").union(border)
         return rows.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semframe.functions.models.roles import Embedding, Validator, with_answers, with_embeddings
 from semframe.functions.serialize import Serializer, braced, plain, quoted
 from semframe.functions.vector import concatenated, dot, mean_pool, normalized, squared_l2
+from semframe.operators.cells import near_blocks
 from semframe.operators.criteria import All, Col, Criterion, FuzzyEqual, HardEqual, filtered
 from semframe.relation import Relation
 from semframe.runtime import staged
@@ -117,51 +116,27 @@ def _side(df: DataFrame, columns: list[str], row: str, comparison: str, form: st
     return out.select(row, (normalized(F.col("v")) if normalize else F.col("v")).alias("v")).where("v is not null")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, metric: str = "ip", physical: str = "auto", slice_rows: int = 20_000, native_pairs: int = 100_000) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, metric: str = "ip", physical: str = "cells") -> DataFrame:
     """``l, r, similarity`` of all pairs strictly beyond the threshold: inner
     product above it, or squared distance (``l2``) below it.
 
-    ``left`` has ``l, v`` and ``right`` ``r, v``.  ``native`` is a join on the
-    expression; ``block`` sends the right side in slices of ``slice_rows`` rows
-    to all tasks of the left and multiplies matrices, so a larger right side
-    means more passes over the left, not a larger broadcast.  ``auto`` decides
-    by the number of pairs."""
-    if physical == "auto":
-        left, right = staged(left, "left"), staged(right, "right")
-        physical = "native" if left.count() * right.count() <= native_pairs else "block"
-    value = dot if metric == "ip" else squared_l2
+    ``left`` has ``l, v`` and ``right`` ``r, v``.  ``cells`` compares each
+    vector with the cells of the other side that can hold a neighbour (see
+    ``cells``); ``native`` is a join on the expression, which compares all."""
+    if physical not in ("cells", "native"):
+        raise ValueError(f"no physical form {physical}")
     if physical == "native":
+        value = dot if metric == "ip" else squared_l2
         x, y = left.withColumnRenamed("v", "__x"), right.withColumnRenamed("v", "__y")
         near = value(F.col("__x"), F.col("__y"))
         return x.join(y, near > threshold if metric == "ip" else near < threshold).select("l", "r", near.alias("similarity"))
-    right = staged(right, "right")
-    total = right.count()
-    passes = max(1, -(-total // slice_rows))
-    out = None
-    for turn in range(passes):
-        part = right if passes == 1 else right.where(F.pmod(F.xxhash64("r"), F.lit(passes)) == turn)
-        rows = part.collect()
-        sent = left.sparkSession.sparkContext.broadcast((np.array([r.r for r in rows], np.int64), np.array([r.v for r in rows], np.float64).reshape(len(rows), -1)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-                for at in range(0, len(own) if len(ids) else 0, 512):
-                    mine = vectors[at : at + 512]
-                    if metric == "ip":
-                        near = mine @ matrix.T
-                        hit = near > threshold
-                    else:
-                        near = np.maximum((mine**2).sum(1)[:, None] - 2 * mine @ matrix.T + (matrix**2).sum(1), 0)
-                        hit = near < threshold
-                    i, j = np.nonzero(hit)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(ids[j]), pa.array(near[i, j])], names=["l", "r", "similarity"])
-
-        found = left.select("l", "v").mapInArrow(run, "l long, r long, similarity double")
-        out = found if out is None else out.union(found)
-    return out
+
+    def pairs(values, hit, qids, eids):
+        i, j = np.nonzero(hit)
+        return [qids[i], eids[j], values[i, j]]
+
+    sides = [staged(df.select(F.col(c).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("v is not null"), c) for df, c in ((left, "l"), (right, "r"))]
+    return near_blocks(*sides, threshold, metric, pairs, "l long, r long, similarity double")
 
 
 def soft_join(
@@ -181,7 +156,7 @@ def soft_join(
     system_prompt: str | None = None,
     metric: str = "ip",
     normalize: bool = False,
-    physical: str = "auto",
+    physical: str = "cells",
     with_score: bool = False,
 ) -> Relation:
     """Inner join of records that describe the same thing.

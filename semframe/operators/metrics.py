@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semframe.functions.models.roles import Embedding
-from semframe.functions.serialize import quoted
+from semframe.functions.models.roles import Embedding, Validator, with_answers
+from semframe.functions.serialize import filled, quoted, value_text
 from semframe.operators.joins import soft_join
 from semframe.relation import Relation
+from semframe.runtime import staged
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -51,39 +56,75 @@ def classify_one_vs_all(rows: Relation, classes: Relation, columns: list[str], c
     return soft_join(rows, classes, method="threshold", threshold=threshold, model=model, columns_left=columns, columns_right=[class_column], serializer=lambda cs: F.concat_ws(", ", *[quoted(c).cast("string") for c in cs]))
 
 
+def prompt_study(rows: DataFrame, prompts: dict[str, str], truth: str, validator: Validator) -> DataFrame:
+    """``prompt, tp, fp, fn, precision, recall, f1`` of each template, filled
+    with the columns of a row and asked once a distinct prompt; ``truth`` says
+    what the answer should be."""
+    one = None
+    for name, template in prompts.items():
+        asked = with_answers(rows.select(quoted(truth).cast("boolean").alias("truth"), filled(template, rows.columns).alias("p")), "p", "yes", validator)
+        told = asked.agg(F.count_if(F.col("truth") & F.col("yes")).alias("tp"), F.count_if(~F.col("truth") & F.col("yes")).alias("fp"), F.count_if(F.col("truth") & ~F.col("yes")).alias("fn"))
+        told = told.select(F.lit(name).alias("prompt"), *_scores(F.col("tp"), F.col("fp"), F.col("fn")))
+        one = told if one is None else one.union(told)
+    return one
+
+
+def expected_mi(sizes: DataFrame, n: int) -> float:
+    """Expected mutual information of clusterings with given sizes by chance.
+
+    ``sizes`` has ``a, ca, b, cb``: sizes of clusters of both sides and how many
+    have them, one row a pair of *different* sizes.  Each pair is summed on an
+    executor, in slices of its overlaps."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_factorial = lambda i: math.lgamma(i + 1)
+        for batch in batches:
+            out = []
+            for a, ca, b, cb in zip(*(c.to_pylist() for c in batch.columns)):
+                low, high, total = max(1, a + b - n), min(a, b), 0.0
+                p = log_factorial(a) + log_factorial(b) + log_factorial(n - a) + log_factorial(n - b) - log_factorial(n) - log_factorial(low) - log_factorial(a - low) - log_factorial(b - low) - log_factorial(n - a - b + low)
+                for at in range(low, high + 1, 1 << 20):
+                    k = np.arange(at, min(high + 1, at + (1 << 20)), dtype=np.float64)
+                    # from one overlap to the next the chance changes by this ratio
+                    with np.errstate(divide="ignore"):  # none is left behind the largest overlap
+                        steps = np.log(a - k) + np.log(b - k) - np.log(k + 1) - np.log(n - a - b + k + 1)
+                    chance = p + np.concatenate([[0.0], np.cumsum(steps[:-1])])
+                    total += float((k / n * np.log(n * k / (a * b)) * np.exp(chance)).sum())
+                    p = chance[-1] + steps[-1]
+                out.append(ca * cb * total)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["emi"])
+
+    return sizes.select("a", "ca", "b", "cb").mapInArrow(summed, "emi double").agg(F.sum("emi")).first()[0] or 0.0
+
+
 def cluster_scores(df: DataFrame, true: str, predicted: str) -> dict[str, float]:
     """Rand index, ARI, FMI, MI, AMI, NMI, homogeneity, completeness and
-    V-measure.  Sums over clusters are made by Spark; the driver gets numbers of
-    clusters by size only (for the expected MI)."""
+    V-measure.  Sums over clusters are made by Spark; the driver gets the sums."""
     cells = df.groupBy(quoted(true).alias("a"), quoted(predicted).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    cells = staged(cells, "cells")
     rows, columns = (cells.groupBy(c).agg(F.sum("n").alias("n")) for c in "ab")
 
     def sums(t: DataFrame) -> tuple[float, float, float]:
         r = t.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum(F.col("n") * F.log("n")).alias("nlog")).first()
         return r.n or 0.0, r.pairs or 0.0, r.nlog or 0.0
 
-    (n, both, nlog), (_, pa, alog), (_, pb, blog) = sums(cells), sums(rows), sums(columns)
+    (n, both, nlog), (_, pa_, alog), (_, pb, blog) = sums(cells), sums(rows), sums(columns)
     if not n:
         return dict.fromkeys(("rand", "ari", "fmi", "mi", "ami", "nmi", "homogeneity", "completeness", "v_measure"), 0.0)
     all_pairs = n * (n - 1) / 2
-    expected = pa * pb / all_pairs if all_pairs else 0.0
-    most = (pa + pb) / 2
+    expected = pa_ * pb / all_pairs if all_pairs else 0.0
+    most = (pa_ + pb) / 2
     mi = max(0.0, (nlog - alog - blog) / n + math.log(n))
     ha, hb = math.log(n) - alog / n, math.log(n) - blog / n
-    sizes = [[(int(r.n), r["count"]) for r in t.groupBy("n").count().collect()] for t in (rows, columns)]
-    emi, lg = 0.0, [math.lgamma(i + 1) for i in range(int(n) + 1)] if n <= 1e7 else None
-    f = (lambda i: lg[i]) if lg else (lambda i: math.lgamma(i + 1))
-    for a, ca in sizes[0]:
-        for b, cb in sizes[1]:
-            for k in range(max(1, a + b - int(n)), min(a, b) + 1):
-                p = f(a) + f(b) + f(int(n) - a) + f(int(n) - b) - f(int(n)) - f(k) - f(a - k) - f(b - k) - f(int(n) - a - b + k)
-                emi += ca * cb * k / n * math.log(n * k / (a * b)) * math.exp(p)
+    # different sizes are at most the root of twice the rows, a side
+    sizes = [t.groupBy(F.col("n").cast("long").alias(c)).agg(F.count(F.lit(1)).alias(f"c{c}")) for t, c in ((rows, "a"), (columns, "b"))]
+    emi = expected_mi(sizes[0].join(sizes[1]), int(n))
     mean = (ha + hb) / 2
     hom, com = (mi / ha if ha > 1e-12 else 1.0), (mi / hb if hb > 1e-12 else 1.0)
     return {
-        "rand": (all_pairs + 2 * both - pa - pb) / all_pairs if all_pairs else 1.0,
+        "rand": (all_pairs + 2 * both - pa_ - pb) / all_pairs if all_pairs else 1.0,
         "ari": (both - expected) / (most - expected) if most != expected else 1.0,
-        "fmi": both / math.sqrt(pa * pb) if pa and pb else 0.0,
+        "fmi": both / math.sqrt(pa_ * pb) if pa_ and pb else 0.0,
         "mi": mi,
         "ami": (mi - emi) / (mean - emi) if abs(mean - emi) > 1e-12 else 1.0,
         "nmi": mi / mean if mean > 1e-12 else 1.0,
@@ -93,6 +134,11 @@ def cluster_scores(df: DataFrame, true: str, predicted: str) -> dict[str, float]
     }
 
 
+def text_tokens(text: str | None) -> list[str]:
+    """Words and single punctuation marks of the lower-cased text."""
+    return re.findall(r"\w+|[^\w\s]", (text or "").lower())
+
+
 def bleu(reference: list[str], candidate: list[str], n: int = 4, smooth: float = 0.1) -> float:
     """BLEU of one sentence with uniform weights up to ``n``-grams; n-grams
     without a match count ``smooth``."""
@@ -110,15 +156,44 @@ def bleu(reference: list[str], candidate: list[str], n: int = 4, smooth: float =
 
 
 def bleu_representativeness(inputs: DataFrame, text: str, outputs: DataFrame, out_text: str, group: str, n: int = 4) -> DataFrame:
-    """``group, bleu``: mean over the inputs of a group of their best BLEU
-    against the group's outputs."""
-    both = inputs.select(quoted(group).alias("g"), F.monotonically_increasing_id().alias("row"), quoted(text).alias("x")).join(outputs.select(quoted(group).alias("g"), quoted(out_text).alias("y")), "g")
-
-    def score(x, y):
-        return [bleu((a or "").split(), (b or "").split(), n) for a, b in zip(x, y)]
-
-    best = both.withColumn("s", _pair_udf(score)("x", "y")).groupBy("g", "row").agg(F.max("s").alias("s"))
-    return best.groupBy(F.col("g").alias(group)).agg(F.avg("s").alias("bleu"))
+    """``group, bleu``: mean over the inputs of a group of their best BLEU, each
+    output of the group being the reference of the input; 0 for inputs that
+    share no word with an output."""
+    rows = staged(inputs.select(quoted(group).alias("g"), F.monotonically_increasing_id().alias("row"), quoted(text).alias("x")), "inputs")
+    best = _best_bleu(rows, outputs.select(quoted(group).alias("g"), quoted(out_text).alias("y")), [n])
+    told = rows.select("g", "row").join(best, "row", "left")
+    return told.groupBy(F.col("g").alias(group)).agg(F.avg(F.coalesce(f"bleu{n}", F.lit(0.0))).alias("bleu"))
+
+
+def calc_bleu(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """``bleu1`` to ``bleu4`` of two sets of key tuples, as texts: the mean over
+    the true ones of their best BLEU with a predicted one as reference.  All are
+    1 if every true tuple was predicted, and -1 if nothing was."""
+    told = F.concat_ws(", ", *[value_text(quoted(k)) for k in keys])
+    names = [f"bleu{i}" for i in range(1, 5)]
+    rows = truth.select(F.lit(0).alias("g"), told.alias("x")).distinct()
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "truth")
+    found = staged(predicted.select(F.lit(0).alias("g"), told.alias("y")).distinct(), "predicted")
+    some = found.agg((F.count(F.lit(1)) > 0).alias("some"))
+    missing = rows.join(found.withColumnRenamed("y", "x"), "x", "left_anti").agg((F.count(F.lit(1)) > 0).alias("missing"))
+    means = rows.select("row").join(_best_bleu(rows, found, [1, 2, 3, 4]), "row", "left").agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in names])
+    one = means.join(some).join(missing)  # one row each
+    return one.select(*[F.when(~F.col("missing"), 1.0).when(~F.col("some"), -1.0).otherwise(F.col(c)).alias(c) for c in names])
+
+
+def _best_bleu(rows: DataFrame, outputs: DataFrame, orders: list[int]) -> DataFrame:
+    """``row, bleu<n>..``: best BLEU of each input against the outputs of its
+    group that share a word with it; without one it is 0."""
+
+    def words(df: DataFrame, column: str) -> DataFrame:
+        return df.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"(\w+|[^\w\s])")))))
+
+    outputs = staged(outputs.where("y is not null").distinct().withColumn("out", F.monotonically_increasing_id()), "outputs")
+    met = words(rows, "x").select("g", "w", "row").join(words(outputs, "y").select("g", "w", "out"), ["g", "w"]).select("row", "out").distinct()
+    both = met.join(rows.select("row", "x"), "row").join(outputs.select("out", "y"), "out")
+    for k in orders:
+        both = both.withColumn(f"bleu{k}", _pair_udf(lambda x, y, k=k: [bleu(text_tokens(b), text_tokens(a), k) for a, b in zip(x, y)])("x", "y"))
+    return both.groupBy("row").agg(*[F.max(f"bleu{k}").alias(f"bleu{k}") for k in orders])
 
 
 def _pair_udf(score):

@@ -3,8 +3,8 @@
 Everything stays on the JVM: the text is parsed once into a variant, and one
 ``variant_explode`` a nesting level turns arrays and objects into child rows
 that carry the surrogate key of their parent and their ordinal.  No step
-shuffles; every few levels the rows are written to the shared folder, so the
-plan does not grow with the depth of the data.
+shuffles; every level is written to the shared folder once, so the plan does
+not grow with the depth of the data.
 """
 
 from __future__ import annotations
@@ -18,15 +18,14 @@ from semframe.runtime import staged
 def readable(text: Column, unwraps: int = 3) -> Column:
     """The JSON value of a text, or null where it can't be read.
 
-    A JSON string that itself holds JSON is unwrapped, up to ``unwraps`` times;
-    a string that holds none stays a string.
-    """
+    A JSON string that itself holds JSON is unwrapped, up to ``unwraps`` times
+    (``nested_nodes`` goes on as long as there are any); a string that holds
+    none stays a string."""
     value = F.try_parse_json(text)
-    for _ in range(unwraps):
-        inner = F.try_variant_get(value, "$", "string")
-        again = F.try_parse_json(inner)
-        value = F.when(is_string(value) & again.isNotNull(), again).otherwise(value)
-    return value
+    if not unwraps:
+        return value
+    inner = readable(F.try_variant_get(value, "$", "string"), unwraps - 1)
+    return F.when(F.rlike(text, F.lit(r'^\s*"')) & inner.isNotNull(), inner).otherwise(value)
 
 
 def is_string(value: Column) -> Column:
@@ -40,46 +39,54 @@ def exploded(df: DataFrame, value: str = "v") -> DataFrame:
     return df.lateralJoin(spark.tvf.variant_explode(F.col(value).outer()))
 
 
-def nested_nodes(df: DataFrame, record: str, column: str, id_field: str = "id", levels_a_stage: int = 4, max_depth: int = 256) -> DataFrame:
-    """All nested objects and strings of a JSON column, one row each.
+def unwrapped(df: DataFrame, value: str = "v", most: int = 64) -> DataFrame:
+    """Rows whose value is a string that holds JSON get what it holds, until
+    none does; each round parses three wraps more."""
+    for _ in range(most):
+        again = df.withColumn("_inner", F.when(is_string(F.col(value)), readable(F.try_variant_get(value, "$", "string"))))
+        if not again.where("_inner is not null").limit(1).count():
+            return df
+        df = staged(again.withColumn(value, F.coalesce("_inner", value)).drop("_inner"), "unwrapped")
+    raise ValueError("text is wrapped without end")
+
 
-    Returns ``record_id, row, node, parent_node, prop, ordinal, child_id,
-    parent_id, v``: ``node`` is the surrogate key (the row's number and the
-    path of fields and ordinals), ``parent_node`` that of the enclosing object,
-    ``ordinal`` the position in the enclosing array or object, ``prop`` the
-    nearest enclosing field, ``child_id`` the object's own ``id_field`` and
-    ``parent_id`` that of the nearest enclosing object that has one, else the
-    record.  ``v`` is the value.
+def nested_nodes(df: DataFrame, record: str, columns: str | list[str], id_field: str = "id", max_depth: int = 256) -> DataFrame:
+    """All nested objects, arrays and values of one or more JSON columns, one
+    row each.
+
+    Returns ``source, record_id, row, node, parent_node, prop, ordinal, parent_id,
+    v, child_id``: ``source`` is the column, ``node`` the surrogate key (the
+    row's number, the column and the path of fields and ordinals),
+    ``parent_node`` that of the enclosing object, ``ordinal`` the position in
+    the enclosing array or object, ``prop`` the nearest enclosing field,
+    ``child_id`` the object's own ``id_field`` and ``parent_id`` that of the
+    nearest enclosing object that has one, else the record.  ``v`` is the value.
+    All columns go down together and every level is computed once.
 
     Defined results: null, empty or broken text and JSON null give no node;
-    wrapped JSON is unwrapped; an array and a single object in its place are
-    treated alike; each delivery of a record has its own surrogate keys; other
-    columns are ignored; an empty table gives an empty result.
+    wrapped JSON is unwrapped, however often; an array and a single object in
+    its place are treated alike; each delivery of a record has its own surrogate
+    keys; other columns are ignored; an empty table gives an empty result; more
+    than ``max_depth`` levels are refused.
     """
-    top = df.select(F.col(f"`{record}`").cast("string").alias("record_id"), F.monotonically_increasing_id().alias("row"), readable(F.col(f"`{column}`")).alias("v")).where("v is not null")
-    now = top.select("record_id", "row", F.col("row").cast("string").alias("node"), F.lit(None).cast("string").alias("parent_node"), F.lit(None).cast("string").alias("prop"), F.lit(0).alias("ordinal"), F.col("record_id").alias("parent_id"), "v")
-    now = staged(now, "nested")
-    out = None
-    for _ in range(0, max_depth, levels_a_stage):
-        levels = [now]
-        for _ in range(levels_a_stage):
-            here = levels[-1]
-            own = F.try_variant_get("v", f"$.{id_field}", "string")
-            inner = exploded(here.withColumn("own", own)).where("key is null or key <> '{}'".format(id_field.replace("'", "''")))
-            # an array stands for its elements: they keep its enclosing object
-            in_array = F.col("key").isNull()
-            levels.append(inner.select("record_id", "row", F.concat_ws("/", "node", F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("node"), F.when(in_array, F.col("parent_node")).otherwise(F.col("node")).alias("parent_node"), F.coalesce("key", "prop").alias("prop"), F.col("pos").alias("ordinal"), F.coalesce("own", "parent_id").alias("parent_id"), F.col("value").alias("v")))
-        seen = levels[0]
-        for level in levels[1:-1]:
-            seen = seen.union(level)
-        seen = seen.where("v is not null")
-        out = seen if out is None else out.union(seen)
-        now = staged(levels[-1].where("v is not null"), "nested")
+    names = [columns] if isinstance(columns, str) else list(columns)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(f"`{c}`").alias("text")) for c in names])).alias("cell")
+    top = df.select(F.col(f"`{record}`").cast("string").alias("record_id"), F.monotonically_increasing_id().alias("row"), cells)
+    top = top.select("cell.source", "record_id", "row", readable(F.col("cell.text")).alias("v")).where("v is not null")
+    now = top.select("source", "record_id", "row", F.concat_ws(":", "row", "source").alias("node"), F.lit(None).cast("string").alias("parent_node"), F.lit(None).cast("string").alias("prop"), F.lit(0).alias("ordinal"), F.col("record_id").alias("parent_id"), "v")
+    now = unwrapped(staged(now, "nested"))
+    out = now
+    for _ in range(max_depth):
+        own = F.try_variant_get("v", f"$.{id_field}", "string")
+        inner = exploded(now.withColumn("own", own)).where("value is not null and (key is null or key <> '{}')".format(id_field.replace("'", "''")))
+        # an array stands for its elements: they keep its enclosing object
+        in_array = F.col("key").isNull()
+        level = inner.select("source", "record_id", "row", F.concat_ws("/", "node", F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("node"), F.when(in_array, F.col("parent_node")).otherwise(F.col("node")).alias("parent_node"), F.coalesce("key", "prop").alias("prop"), F.col("pos").alias("ordinal"), F.coalesce("own", "parent_id").alias("parent_id"), F.col("value").alias("v"))
+        now = staged(level, "nested")
         if not now.limit(1).count():
-            break
-    else:
-        raise ValueError(f"{column} is nested deeper than {max_depth} levels")
-    return out.withColumn("child_id", F.try_variant_get("v", f"$.{id_field}", "string"))
+            return out.withColumn("child_id", F.try_variant_get("v", f"$.{id_field}", "string"))
+        out = out.union(now)
+    raise ValueError(f"{', '.join(names)} nested deeper than {max_depth} levels")
 
 
 def nested_objects(nodes: DataFrame) -> DataFrame:
@@ -92,19 +99,38 @@ def nested_strings(nodes: DataFrame) -> DataFrame:
     return nodes.where(is_string(F.col("v"))).withColumn("child_id", F.try_variant_get("v", "$", "string"))
 
 
-def child_table(nodes: DataFrame, prop: str) -> DataFrame:
+def merged_schema(nodes: DataFrame) -> DataFrame:
+    """``prop, field, kind, objects``: the fields of the objects of each
+    property, the merged type of their values and how many objects have them."""
+    objects = nodes.where(F.col("prop").isNotNull() & F.to_json("v").startswith("{"))
+    return exploded(objects.select("prop", "node", "v")).groupBy("prop", F.col("key").alias("field")).agg(F.schema_of_variant_agg("value").alias("kind"), F.count(F.lit(1)).alias("objects"))
+
+
+def child_table(nodes: DataFrame, prop: str, max_fields: int = 2000) -> DataFrame:
     """The flat table of one property: surrogate, parent, ordinal and one
     column for each field of the merged schema of its objects.
 
     Fields whose values vary in shape keep their JSON text; nested objects have
-    tables of their own, linked by ``parent_node``.
+    tables of their own, linked by ``parent_node``.  More than ``max_fields``
+    fields (names made from data) are refused; ``merged_schema`` shows them.
     """
     rows = nodes.where((F.col("prop") == prop) & F.to_json("v").startswith("{"))
-    fields = exploded(rows.select("node", "v")).groupBy("key").agg(F.schema_of_variant_agg("value").alias("kind"))
-    known = {r.key: r.kind for r in fields.collect()}  # one row a field name
+    known = {r.field: r.kind for r in merged_schema(rows).select("field", "kind").limit(max_fields + 1).collect()}  # one row a field name
+    if len(known) > max_fields:
+        raise ValueError(f"{prop} has more than {max_fields} fields")
     plain = {"BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean", "STRING": "string"}
     columns = []
     for name, kind in sorted(known.items()):
         cell = F.try_variant_get("v", "$['{}']".format(name.replace("'", "\\'")), plain.get(kind, "variant"))
         columns.append((cell if kind in plain else F.to_json(cell)).alias(name))
     return rows.select("record_id", F.col("node").alias("_node"), F.col("parent_node").alias("_parent_node"), F.col("ordinal").alias("_ordinal"), *columns)
+
+
+def child_tables(nodes: DataFrame, max_tables: int = 500) -> dict[str, DataFrame]:
+    """The flat tables of all properties whose values are objects; more than
+    ``max_tables`` of them are refused."""
+    nodes = staged(nodes.where(F.col("prop").isNotNull() & F.to_json("v").startswith("{")), "objects")
+    names = [r.prop for r in nodes.select("prop").distinct().limit(max_tables + 1).collect()]
+    if len(names) > max_tables:
+        raise ValueError(f"more than {max_tables} properties")
+    return {name: child_table(nodes, name) for name in sorted(names)}

@@ -194,7 +194,13 @@ def join_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_join(Relation(names.withColumnRenamed("p_name", "l"), "a"), Relation(names.withColumnRenamed("p_name", "r"), "b"), "l", "r", 3).df
 
 
-@query()
+@query(f"""
+WITH n AS (SELECT n, list_filter(regexp_split_to_array(lower(n), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM {DISTINCT_PARTS}),
+tf AS (SELECT n, w, count(*) AS tf FROM (SELECT n, unnest(ws) AS w FROM n) GROUP BY ALL),
+idf AS (SELECT w, ln((1 + 2 * (SELECT count(*) FROM n)) / (1 + 2 * count(*))) + 1 AS idf FROM tf GROUP BY w),
+x AS (SELECT n, w, tf * idf AS x FROM tf JOIN idf USING (w)), u AS (SELECT n, w, x / sqrt(sum(x * x) OVER (PARTITION BY n)) AS u FROM x)
+SELECT a.n AS l, b.n AS r FROM u a JOIN u b USING (w) GROUP BY ALL HAVING sum(a.u * b.u) > 0.6
+""")
 def join_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "part").select("p_name").distinct()
     return tfidf_join(Relation(names.withColumnRenamed("p_name", "l"), "a"), Relation(names.withColumnRenamed("p_name", "r"), "b"), "l", "r", 0.6).df
@@ -338,7 +344,7 @@ def soft_join_full(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT a.n AS l, b.n AS r FROM {PART_VECTORS} a, {PART_VECTORS} b WHERE list_cosine_similarity(a.v, b.v) > 0.85")
 def soft_join_field(spark: SparkSession, folder: str) -> DataFrame:
     """One field: the mean of its vectors is its vector."""
-    return soft_join(_part_names(spark, folder, "l", "a"), _part_names(spark, folder, "r", "b"), method="threshold", form="FIELD_SERIALIZED", threshold=0.85, model=UNIT, physical="block").df
+    return soft_join(_part_names(spark, folder, "l", "a"), _part_names(spark, folder, "r", "b"), method="threshold", form="FIELD_SERIALIZED", threshold=0.85, model=UNIT).df
 
 
 @query(f"SELECT a.n AS l, b.n AS r FROM {PART_VECTORS} a, {PART_VECTORS} b WHERE list_cosine_similarity(a.v, b.v) > 0.85")
@@ -362,7 +368,7 @@ def soft_join_both(spark: SparkSession, folder: str) -> DataFrame:
 def soft_join_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Stored vectors in place of a model."""
     rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return similar_pairs(rows.withColumnRenamed("vec_id", "l"), rows.withColumnRenamed("vec_id", "r"), 0.4, physical="block").where("l < r").select("l", "r")
+    return similar_pairs(rows.withColumnRenamed("vec_id", "l"), rows.withColumnRenamed("vec_id", "r"), 0.4).where("l < r").select("l", "r")
 
 
 @query("SELECT vec_id, label FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), vec_id LIMIT 10")
@@ -407,26 +413,37 @@ def classify(spark: SparkSession, folder: str) -> DataFrame:
 WITH s AS (SELECT o_totalprice / 500000 AS score, o_orderstatus = 'F' AS truth FROM orders),
 t AS (SELECT unnest([0.2, 0.4, 0.6]) AS threshold),
 c AS (SELECT threshold, count_if(score >= threshold AND truth) AS tp, count_if(score >= threshold AND NOT truth) AS fp, count_if(score < threshold AND truth) AS fn FROM t, s GROUP BY threshold)
-SELECT threshold, tp, fp, fn FROM c
+SELECT threshold, tp, fp, fn, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall, 2 * tp / greatest(2 * tp + fp + fn, 1) AS f1 FROM c
 """)
 def sweep(spark: SparkSession, folder: str) -> DataFrame:
     scored = table(spark, folder, "orders").select((F.col("o_totalprice") / 500000).alias("score"), (F.col("o_orderstatus") == "F").alias("truth"))
-    return threshold_sweep(scored, "score", "truth", [0.2, 0.4, 0.6]).select(F.col("threshold").cast("decimal(2,1)").alias("threshold"), "tp", "fp", "fn")
+    return threshold_sweep(scored, "score", "truth", [0.2, 0.4, 0.6]).withColumn("threshold", F.col("threshold").cast("decimal(2,1)"))
 
 
 @query("""
 WITH t AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT o_orderkey FROM orders WHERE o_orderpriority < '3')
-SELECT (SELECT count(*) FROM t SEMI JOIN p USING (o_orderkey)) AS tp, (SELECT count(*) FROM p ANTI JOIN t USING (o_orderkey)) AS fp, (SELECT count(*) FROM t ANTI JOIN p USING (o_orderkey)) AS fn
+, c AS (SELECT (SELECT count(*) FROM t SEMI JOIN p USING (o_orderkey)) AS tp, (SELECT count(*) FROM p ANTI JOIN t USING (o_orderkey)) AS fp, (SELECT count(*) FROM t ANTI JOIN p USING (o_orderkey)) AS fn)
+SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c
 """)
 def prf_metrics(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
-    return match_metrics(orders.where("o_orderstatus = 'F'"), orders.where("o_orderpriority < '3'"), ["o_orderkey"]).select("tp", "fp", "fn")
+    return match_metrics(orders.where("o_orderstatus = 'F'"), orders.where("o_orderpriority < '3'"), ["o_orderkey"])
 
 
-@query()
+@query("""
+WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL),
+r AS (SELECT a, sum(n) AS n FROM c GROUP BY a), s AS (SELECT b, sum(n) AS n FROM c GROUP BY b),
+t AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS met, sum(n * ln(n)) AS nlog FROM c),
+u AS (SELECT t.*, (SELECT sum(n * (n - 1) / 2) FROM r) AS pa, (SELECT sum(n * (n - 1) / 2) FROM s) AS pb, (SELECT sum(n * ln(n)) FROM r) AS alog, (SELECT sum(n * ln(n)) FROM s) AS blog, n * (n - 1) / 2 AS pairs FROM t),
+v AS (SELECT *, greatest(0, (nlog - alog - blog) / n + ln(n)) AS mi, ln(n) - alog / n AS ha, ln(n) - blog / n AS hb, pa * pb / pairs AS ex FROM u),
+k AS (SELECT r.n AS a, s.n AS b, u.n AS n, unnest(range(greatest(1, r.n + s.n - u.n)::BIGINT, least(r.n, s.n)::BIGINT + 1)) AS k FROM r, s, u),
+e AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS emi FROM k)
+SELECT unnest(['rand', 'ari', 'fmi', 'mi', 'ami', 'nmi', 'homogeneity', 'completeness', 'v_measure']) AS score,
+  unnest([round((pairs + 2 * met - pa - pb) / pairs, 6), round((met - ex) / ((pa + pb) / 2 - ex), 6), round(met / sqrt(pa * pb), 6), round(mi, 6), round((mi - emi) / ((ha + hb) / 2 - emi), 6), round(mi / ((ha + hb) / 2), 6), round(mi / ha, 6), round(mi / hb, 6), round(2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb), 6)]) AS value FROM v, e
+""")
 def scores_of_clusters(spark: SparkSession, folder: str) -> DataFrame:
     told = cluster_scores(table(spark, folder, "lineitem"), "l_returnflag", "l_linestatus")
-    return spark.createDataFrame(sorted(told.items()), "score string, value double")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(told.items())], "score string, value double")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -475,9 +492,8 @@ UNION {_strings("referents")}
 UNION {_strings("datasets")}
 """)
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    entity = table(spark, folder, "entity")
-    found = nested_objects(nested_nodes(entity, "id", "properties")).select("record_id", "parent_id", "prop", "child_id")
-    for name in ("referents", "datasets"):
-        strings = nested_strings(nested_nodes(entity, "id", name))
-        found = found.union(strings.select("record_id", F.col("record_id").alias("parent_id"), F.lit(name).alias("prop"), "child_id"))
+    nodes = nested_nodes(table(spark, folder, "entity"), "id", ["properties", "referents", "datasets"])
+    found = nested_objects(nodes.where("source = 'properties'")).select("record_id", "parent_id", "prop", "child_id")
+    strings = nested_strings(nodes.where("source <> 'properties'"))
+    found = found.union(strings.select("record_id", F.col("record_id").alias("parent_id"), F.col("source").alias("prop"), "child_id"))
     return found.where("record_id is not null").distinct()

@@ -31,6 +31,15 @@ def windowed_aggregate(relation: Relation, time: str, width: str, late: str, key
     return relation.derive(df, f"window [{time}, {width}; {', '.join(keys)}]")
 
 
+def session_aggregate(relation: Relation, time: str, gap: str, late: str, keys: list[str], aggregations: list[Aggregation]) -> Relation:
+    """Groups of keys in sessions that end when nothing comes for ``gap``; of a
+    stream, with a watermark as in ``windowed_aggregate``."""
+    rows = relation.df.withColumn(time, quoted(time).cast("timestamp")).withWatermark(time, late) if relation.df.isStreaming else relation.df
+    df = rows.groupBy(F.session_window(quoted(time), gap).alias("w"), *[quoted(k) for k in keys]).agg(*[a.column().alias(a.output) for a in aggregations])
+    df = df.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[quoted(k) for k in keys], *[quoted(a.output) for a in aggregations])
+    return relation.derive(df, f"session [{time}, {gap}; {', '.join(keys)}]")
+
+
 def run_available(relation: Relation, path: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is there, into a Parquet folder with
     exactly-once files, and read the result."""

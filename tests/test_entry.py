@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from semframe.plans import more  # noqa: F401
 from semframe.plans import queries as core
 
 SKIP = {"soft_agg_dbscan"}  # slow in SQL

@@ -1,7 +1,9 @@
 """Soft filters, joins and aggregates, clusters, metrics, nested JSON, streams."""
 
 import itertools
+import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,13 +14,15 @@ from semframe.functions.models.adapters import ChatGenerator, ChatValidator, Poo
 from semframe.functions.models.roles import with_embeddings
 from semframe.functions.serialize import braced, plain
 from semframe.functions.vector import DISTANCES, cosine, literal, mean_pool, normalized, vector_topk
-from semframe.operators.aggregate import Count, SetAgg, Sum, soft_aggregate
+from semframe.operators.aggregate import Count, CustomAgg, SetAgg, Sum, _in_parts, hash_aggregate, soft_aggregate
 from semframe.operators.cluster import CallableClusterer, DBSCANClusterer, HDBSCANClusterer, KMeansClusterer
+from semframe.operators.cells import Forest, near_blocks, squared_distances
 from semframe.operators.components import connected_components
 from semframe.operators.criteria import All, Col, Const, HardEqual, SoftEqual, SoftValidate, select
 from semframe.operators.joins import similar_pairs, soft_join
-from semframe.operators.metrics import bleu, bleu_representativeness, classify_one_vs_all, cluster_scores, match_metrics, threshold_sweep
+from semframe.operators.metrics import bleu, bleu_representativeness, calc_bleu, classify_one_vs_all, cluster_scores, expected_mi, match_metrics, text_tokens, threshold_sweep
 from semframe.operators.nested import child_table, nested_nodes, nested_objects, nested_strings
+from semframe.relation import Relation
 from semframe.sources.scan import values
 from tests.util import same
 
@@ -98,7 +102,7 @@ L = [("red steel ring", "x"), ("blue bolt", None), ("green nut", "y"), (None, No
 R = [("steel ring red", "x"), ("a blue bolt", "z"), ("nut", None)]
 
 
-@pytest.mark.parametrize("physical", ["native", "block"])
+@pytest.mark.parametrize("physical", ["native", "cells"])
 @pytest.mark.parametrize("comparison,form", [("RECORD_WISE", "FULL_SERIALIZED"), ("RECORD_WISE", "FIELD_SERIALIZED"), ("COLUMN_WISE", "FULL_SERIALIZED")])
 def test_soft_join_is_brute_force(spark, comparison, form, physical):
     model, least = LetterEmbedding(unit=True), 0.35 if form == "FIELD_SERIALIZED" else 0.6
@@ -129,7 +133,7 @@ def test_soft_join_edges(spark):
     l, r = values(spark, "l", ["a"], [("x",)], "a string"), values(spark, "r", ["a"], [], "a string")
     model = LetterEmbedding(unit=True)
     assert soft_join(l, r, method="threshold", threshold=0.1, model=model).fetch_all() == []
-    assert soft_join(r, l, method="threshold", threshold=0.1, model=model, physical="block").columns == ["r.a", "l.a"]
+    assert soft_join(r, l, method="threshold", threshold=0.1, model=model).columns == ["r.a", "l.a"]
     # strict at the threshold
     twin = values(spark, "t", ["a"], [("x",)], "a string")
     assert soft_join(l, twin, method="threshold", threshold=1.0, model=model, serializer=plain).fetch_all() == []
@@ -145,12 +149,75 @@ def test_similar_pairs_in_slices(spark):
     a, b = rng.normal(size=(40, 4)), rng.normal(size=(30, 4))
     da = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "l long, v array<double>")
     db = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)], "r long, v array<double>")
-    got = {(r.l, r.r) for r in similar_pairs(da, db, 1.5, physical="block", slice_rows=7).collect()}
+    got = {(r.l, r.r) for r in similar_pairs(da, db, 1.5, physical="cells").collect()}
     assert got == {(i, j) for i in range(40) for j in range(30) if a[i] @ b[j] > 1.5}
-    got = {(r.l, r.r) for r in similar_pairs(da, db, 2.0, "l2", physical="block", slice_rows=7).collect()}
+    got = {(r.l, r.r) for r in similar_pairs(da, db, 2.0, "l2", physical="cells").collect()}
     assert got == {(i, j) for i in range(40) for j in range(30) if ((a[i] - b[j]) ** 2).sum() < 2.0}
 
 
+@pytest.mark.parametrize("metric, threshold", [("ip", 1.0), ("ip", -0.5), ("l2", 0.7)])
+def test_blocks_of_cells_are_complete(spark, metric, threshold):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(150, 3)), np.repeat([[1.0, 1, 0]], 50, 0), [[0, 0, 0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    near = x @ x.T > threshold if metric == "ip" else squared_distances(x, x) < threshold
+    small = {"block_rows": 16, "probes_a_task": 40}
+    got = [tuple(r) for r in near_blocks(df, df, threshold, metric, lambda _, hit, q, e: [q[np.nonzero(hit)[0]], e[np.nonzero(hit)[1]]], "a long, b long", **small).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    forest = Forest()
+    links = near_blocks(df, df, threshold, metric, lambda _, hit, q, e: forest.links(hit & (q[:, None] != e[None, :]), q, e), "a long, b long", **small)
+    assert links.count() < 3 * len(x) * 13
+    label = np.arange(len(x))
+    for _ in x:
+        label = np.where(near | np.eye(len(x), dtype=bool), label[None, :], len(x)).min(1)
+    assert {r.node: r.label for r in connected_components(links).collect()} == {i: int(c) for i, c in enumerate(label) if (label == c).sum() > 1}
+
+
+def test_dbscan_is_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 2))
+    near = squared_distances(x, x) <= 0.09
+    core = near.sum(1) >= 4
+    label = np.where(core, np.arange(len(x)), len(x))
+    for _ in x:
+        label = np.where(core, np.where(near & core[None, :], label[None, :], len(x)).min(1), label)
+    want = [int(label[i]) if core[i] else int(min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1)) for i in range(len(x))]
+    got = DBSCANClusterer(0.3, 4).fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"))
+    assert {r.id: r.cluster for r in got.collect()} == dict(enumerate(want)) and -1 in want and len(set(want)) > 3
+
+
+def test_folds_in_parts(spark):
+    df = spark.createDataFrame([(i % 3 if i % 3 else None, i) for i in range(500)], "k int, v long")
+    fold = CustomAgg("v", "total", "long", fold=lambda a, b: a + b, merge=lambda a, b: a + b)
+    got = {r.k: r.total for r in _in_parts(Relation(df, "t"), ["k"], [fold], rows=20).collect()}
+    assert got == {k: sum(i for i in range(500) if (i % 3 or None) == k) for k in (None, 1, 2)}
+    assert {tuple(r.values()) for r in hash_aggregate(Relation(df, "t"), ["k"], [fold]).fetch_all()} == set(got.items())
+    for bad in ({}, {"function": sum, "native": F.sum}, {"function": sum, "merge": max}):
+        with pytest.raises(ValueError):
+            CustomAgg("v", "x", **bad)
+
+
+def test_expected_information_is_the_mean_over_all_orders(spark):
+    labels = [0, 0, 0, 1, 1, 2]
+    other = [0, 0, 1, 1, 1, 1]
+    told = []
+    for turned in set(itertools.permutations(other)):
+        n = len(labels)
+        cells = Counter(zip(labels, turned))
+        told.append(sum(c / n * math.log(n * c / (labels.count(a) * other.count(b))) for (a, b), c in cells.items()))
+    sizes = spark.createDataFrame([(a, ca, b, cb) for a, ca in Counter(Counter(labels).values()).items() for b, cb in Counter(Counter(other).values()).items()], "a long, ca long, b long, cb long")
+    assert expected_mi(sizes, 6) == pytest.approx(sum(told) / len(told))
+
+
+def test_calc_bleu(spark):
+    truth, found = spark.createDataFrame([("the red bolt is here", 1), ("a ring", 2)], "t string, n int"), spark.createDataFrame([("the red bolt is there", 1), ("zzz", 9)], "t string, n int")
+    got = calc_bleu(truth, found, ["t", "n"]).first()
+    for n in range(1, 5):
+        want = [max(bleu(text_tokens(f"{p.t}, {p.n}"), text_tokens(f"{t.t}, {t.n}"), n) for p in found.collect()) for t in truth.collect()]
+        assert got[f"bleu{n}"] == pytest.approx(sum(want) / 2)
+    assert calc_bleu(truth, truth, ["t"]).first().bleu4 == 1 and calc_bleu(truth, found.limit(0), ["t"]).first().bleu1 == -1
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(None, 1), (5, None)] + [(1000, i) for i in range(1001, 1060)]
@@ -176,7 +243,7 @@ def test_clusterers(spark):
         return out
 
     blobs = [set(range(30)), set(range(30, 60))]
-    for c in (DBSCANClusterer(1.0, 3), DBSCANClusterer(1.0, 3, physical="block"), HDBSCANClusterer(5)):
+    for c in (DBSCANClusterer(1.0, 3), HDBSCANClusterer(5)):
         found = groups(c)
         assert found.pop(-1) == {60} and sorted(found.values(), key=min) == blobs
     assert sorted(map(len, groups(KMeansClusterer(3)).values())) == [1, 30, 30]
@@ -243,6 +310,14 @@ def test_nested(spark):
     parents = {r.node for r in nodes.collect()}
     assert all(r._parent_node in parents for r in table.values()) and table['"p1"']._ordinal == 0
     assert nested_objects(nested_nodes(df.limit(0), "id", "properties")).count() == 0
+    wrapped = '{"a": {"id": "deep"}}'
+    for _ in range(6):
+        wrapped = json.dumps(wrapped)
+    deep = spark.createDataFrame([("e9", " \n" + wrapped, '"no json"')], "id string, p string, q string")
+    both = nested_nodes(deep, "id", ["p", "q"])
+    assert [(r.source, r.child_id) for r in nested_objects(both).collect()] == [("p", "deep")] and nested_strings(both.where("source = 'q'")).first().child_id == "no json"
+    with pytest.raises(ValueError):
+        child_table(nested_nodes(spark.createDataFrame([("e", json.dumps({"x": {f"f{i}": i for i in range(9)}}))], "id string, p string"), "id", "p"), "x", max_fields=5)
 
 
 def test_streams(spark, tmp_path, data):
