@@ -3,13 +3,13 @@
 Everything stays on the JVM: the text is parsed once into a variant, and one
 ``variant_explode`` a nesting level turns arrays and objects into child rows
 that carry the surrogate key of their parent and their ordinal.  No step
-shuffles; every level is written to the shared folder once, so the plan does
-not grow with the depth of the data.
+shuffles; every few levels the rows are written to the shared folder, so the
+plan does not grow with the depth of the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from semframe.runtime import staged
@@ -39,29 +39,30 @@ def exploded(df: DataFrame, value: str = "v") -> DataFrame:
     return df.lateralJoin(spark.tvf.variant_explode(F.col(value).outer()))
 
 
-def unwrapped(df: DataFrame, value: str = "v", most: int = 64) -> DataFrame:
+def unwrapped(df: DataFrame, value: str = "v", wrapped: str = "wrapped", most: int = 64) -> DataFrame:
     """Rows whose value is a string that holds JSON get what it holds, until
-    none does; each round parses three wraps more."""
+    none does; each round parses three wraps more.  Only rows that are marked
+    as wrapped are looked at."""
     for _ in range(most):
-        again = df.withColumn("_inner", F.when(is_string(F.col(value)), readable(F.try_variant_get(value, "$", "string"))))
-        if not again.where("_inner is not null").limit(1).count():
-            return df
+        again = df.withColumn("_inner", F.when(F.col(wrapped) & is_string(F.col(value)), readable(F.try_variant_get(value, "$", "string"))))
+        if not again.where(F.col(wrapped) & F.col("_inner").isNotNull()).limit(1).count():
+            return df.drop(wrapped)
         df = staged(again.withColumn(value, F.coalesce("_inner", value)).drop("_inner"), "unwrapped")
     raise ValueError("text is wrapped without end")
 
 
-def nested_nodes(df: DataFrame, record: str, columns: str | list[str], id_field: str = "id", max_depth: int = 256) -> DataFrame:
+def nested_nodes(df: DataFrame, record: str, columns: str | list[str], id_field: str = "id", levels_a_stage: int = 2, max_depth: int = 256) -> DataFrame:
     """All nested objects, arrays and values of one or more JSON columns, one
     row each.
 
     Returns ``source, record_id, row, node, parent_node, prop, ordinal, parent_id,
-    v, child_id``: ``source`` is the column, ``node`` the surrogate key (the
+    child_id, v``: ``source`` is the column, ``node`` the surrogate key (the
     row's number, the column and the path of fields and ordinals),
     ``parent_node`` that of the enclosing object, ``ordinal`` the position in
     the enclosing array or object, ``prop`` the nearest enclosing field,
     ``child_id`` the object's own ``id_field`` and ``parent_id`` that of the
     nearest enclosing object that has one, else the record.  ``v`` is the value.
-    All columns go down together and every level is computed once.
+    All columns go down together, ``levels_a_stage`` levels a written table.
 
     Defined results: null, empty or broken text and JSON null give no node;
     wrapped JSON is unwrapped, however often; an array and a single object in
@@ -72,20 +73,28 @@ def nested_nodes(df: DataFrame, record: str, columns: str | list[str], id_field:
     names = [columns] if isinstance(columns, str) else list(columns)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(f"`{c}`").alias("text")) for c in names])).alias("cell")
     top = df.select(F.col(f"`{record}`").cast("string").alias("record_id"), F.monotonically_increasing_id().alias("row"), cells)
-    top = top.select("cell.source", "record_id", "row", readable(F.col("cell.text")).alias("v")).where("v is not null")
-    now = top.select("source", "record_id", "row", F.concat_ws(":", "row", "source").alias("node"), F.lit(None).cast("string").alias("parent_node"), F.lit(None).cast("string").alias("prop"), F.lit(0).alias("ordinal"), F.col("record_id").alias("parent_id"), "v")
-    now = unwrapped(staged(now, "nested"))
-    out = now
-    for _ in range(max_depth):
-        own = F.try_variant_get("v", f"$.{id_field}", "string")
-        inner = exploded(now.withColumn("own", own)).where("value is not null and (key is null or key <> '{}')".format(id_field.replace("'", "''")))
-        # an array stands for its elements: they keep its enclosing object
-        in_array = F.col("key").isNull()
-        level = inner.select("source", "record_id", "row", F.concat_ws("/", "node", F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("node"), F.when(in_array, F.col("parent_node")).otherwise(F.col("node")).alias("parent_node"), F.coalesce("key", "prop").alias("prop"), F.col("pos").alias("ordinal"), F.coalesce("own", "parent_id").alias("parent_id"), F.col("value").alias("v"))
-        now = staged(level, "nested")
-        if not now.limit(1).count():
-            return out.withColumn("child_id", F.try_variant_get("v", f"$.{id_field}", "string"))
-        out = out.union(now)
+    top = top.select("cell.source", "record_id", "row", readable(F.col("cell.text")).alias("v"), F.rlike("cell.text", F.lit(r'^\s*"')).alias("wrapped")).where("v is not null")
+    now = top.select("source", "record_id", "row", F.concat_ws(":", "row", "source").alias("node"), F.lit(None).cast("string").alias("parent_node"), F.lit(None).cast("string").alias("prop"), F.lit(0).alias("ordinal"), F.col("record_id").alias("parent_id"), "v", "wrapped")
+    own = F.try_variant_get("v", f"$.{id_field}", "string").alias("child_id")
+
+    def told(level: DataFrame) -> DataFrame:
+        return level.select(*[c for c in level.columns if c != "v"], own, "v")
+
+    now = told(unwrapped(staged(now, "nested")))
+    out = None
+    for _ in range(0, max_depth, levels_a_stage):
+        levels = [now]
+        for _ in range(levels_a_stage):
+            inner = exploded(levels[-1]).where("value is not null and (key is null or key <> '{}')".format(id_field.replace("'", "''")))
+            # an array stands for its elements: they keep its enclosing object
+            in_array = F.col("key").isNull()
+            levels.append(told(inner.select("source", "record_id", "row", F.concat_ws("/", "node", F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("node"), F.when(in_array, F.col("parent_node")).otherwise(F.col("node")).alias("parent_node"), F.coalesce("key", "prop").alias("prop"), F.col("pos").alias("ordinal"), F.coalesce("child_id", "parent_id").alias("parent_id"), F.col("value").alias("v"))))
+        for level in levels[:-1]:
+            out = level if out is None else out.union(level)
+        seen = Observation()  # counts while it is written
+        now = staged(levels[-1].observe(seen, F.count(F.lit(1)).alias("n")), "nested")
+        if not seen.get["n"]:
+            return out
     raise ValueError(f"{', '.join(names)} nested deeper than {max_depth} levels")
 
 
