@@ -64,19 +64,49 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def slots_agree(item: list[str], item_slots: list[str], doc: list[str], doc_slots: list[str]) -> bool | None:
-    """Whether each value of a slot of the item stands for one value of the
-    text and the other way round, over windows aligned word by word; null
-    without slots."""
+def common_path(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places ``(in a, in b)`` of a longest common subsequence."""
+    where: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(a):
+        where[w] |= 1 << i
+    full = (1 << len(a)) - 1
+    rows = [full]
+    for w in b:
+        row = rows[-1]
+        u = row & where.get(w, 0)
+        rows.append(((row + u) | (row - u)) & full)
+
+    def length(i: int, j: int) -> int:
+        return i - (rows[j] & ((1 << i) - 1)).bit_count()
+
+    out, i, j = [], len(a), len(b)
+    while i and j and length(i, j):
+        if length(i, j - 1) == length(i, j):
+            j -= 1
+        elif length(i - 1, j) == length(i, j):
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def slots_agree(item: list[str], item_slots: list[str], doc: list[str], doc_slots: list[str]) -> tuple[int, int, bool | None]:
+    """``(words in common, values changed, agree)`` of two templates, word by
+    word along their longest common subsequence, so that words put in or left
+    out do not matter.  Slots agree if each value of the item stands for one
+    value of the text and the other way round; null without slots."""
     there: dict[str, str] = {}
     back: dict[str, str] = {}
-    seen = False
-    for a, s, b, t in zip(item, item_slots, doc, doc_slots):
-        if s in (NAME, NUM, UNIT) and s == t:
-            seen = True
-            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                return False
-    return True if seen else None
+    agree: bool | None = None
+    path = common_path(item_slots, doc_slots)
+    changed = 0
+    for i, j in path:
+        if item_slots[i] in (NAME, NUM, UNIT):
+            one = there.setdefault(item[i], doc[j]) == doc[j] and back.setdefault(doc[j], item[i]) == item[i]
+            agree = one if agree is None else agree and one
+            changed += item[i] != doc[j]
+    return len(path), changed, agree
 
 
 class Passages:
@@ -114,8 +144,9 @@ class Passages:
                 for n, p in self.at[int(codes[k])]:
                     yield n, int(known[k]) - p
 
-    def leaks(self, text: str, share: float, least_hits: int) -> Iterator[tuple[int, int, float, int, bool | None]]:
-        """``(key, words found, share, first word, slots agree)`` a leaked item."""
+    def leaks(self, text: str, share: float, least_hits: int) -> Iterator[tuple[int, int, float, int, float, int, bool | None]]:
+        """``(key, words found, share, first word, share of the template, values
+        changed, slots agree)`` of a leaked item."""
         lower, typed, named = templates(tokens(text))
         starts: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
         hits: dict[int, int] = defaultdict(int)
@@ -128,7 +159,7 @@ class Passages:
             enough = min(least_hits, max(1, len(item) - 2))
             if hits[n] < enough:
                 continue
-            room, best = max(4, len(item) // 4), (0, 0)
+            room, best, alike = max(4, len(item) // 4), (0, 0), (0, 0)
             done = -(10**9)
             for start in sorted(found):
                 if start - done < room // 2:  # its stretch was looked at with the last one
@@ -136,37 +167,48 @@ class Passages:
                 done = start
                 if sum(c for s, c in found.items() if abs(s - start) <= room) < enough:
                     continue
-                part = lower[max(0, start - room) : max(0, start + len(item) + room)]
-                best = max(best, (common_subsequence(item, part), -start))
-            if best[0] >= share * len(item) and best[0]:
-                start = max(0, -best[1])
-                agree = slots_agree(item, item_named, lower[start:], named[start:])
-                yield key, best[0], best[0] / len(item), start, agree
+                near = slice(max(0, start - room), max(0, start + len(item) + room))
+                best = max(best, (common_subsequence(item, lower[near]), -start))
+                alike = max(alike, (common_subsequence(item_named, named[near]), -start))
+            copied = best[0] >= share * len(item) and best[0]
+            if not copied and not alike[0] >= max(1, share * len(item)):
+                continue
+            start = -(best if copied else alike)[1]
+            near = slice(max(0, start - room), max(0, start + len(item) + room))
+            same, changed, agree = slots_agree(item, item_named, lower[near], named[near])
+            # the same question with other values: most of it stands there, each value for one other
+            if copied or agree and changed and same >= 0.8 * len(item):
+                yield key, best[0], best[0] / len(item), max(0, start), same / len(item), changed, agree
 
 
 def leaked_passages(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str, share: float = 0.5, least_hits: int = 4, items_a_pass: int = 20_000) -> DataFrame:
-    """``doc_id, item_id, words, share, start, slots_agree`` of each document
-    that holds at least ``share`` of the words of a passage, in their order and
-    close together.
+    """``doc_id, item_id, words, share, start, template_share, changed,
+    slots_agree, reparameterised`` of each document that holds at least ``share`` of the words of
+    a passage, in their order and close together (``share`` tells how many), or
+    the passage with other values in it (``reparameterised``).
 
     Words are canonical: without case, accents, punctuation, markup and
     invisible characters.  Numbers, units and names become typed placeholders,
-    and windows of template tokens of the text are looked up in a hash table of
-    those of the passages; texts with ``least_hits`` window hits of an item are
-    compared word by word around them, and the values that fill the
-    placeholders are checked for a consistent one-to-one relation
-    (``slots_agree``), which tells re-parameterised copies.
+    and windows of template tokens of the text are joined by hash with those of
+    the passages, whose table is small enough to be sent to all tasks; texts
+    with ``least_hits`` window hits of an item are compared word by word around
+    them.  The values in the placeholders are checked along the longest common
+    subsequence of both templates: ``changed`` counts those that differ, and
+    ``slots_agree`` says whether each value stands for one other throughout.
+    That check decides about texts with fewer than ``share`` of the words: where
+    at least 0.8 of the template stands and all slots agree, the passage was
+    copied with other values.
 
     The documents are read once and never shuffled.  The items' table is
     broadcast in slices of ``items_a_pass`` rows: more items mean more passes,
     not a larger broadcast.  Defined results: null or empty texts and passages
-    and null keys give no row; repeated rows count once; other columns are
-    ignored.
+    and null keys give no row; repeated rows count once, the larger share; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     chosen = items.select(F.col(f"`{item_key}`").cast("long").alias("i"), F.col(f"`{passage}`").alias("p")).where("i is not null and p is not null").distinct()
     source = docs.select(F.col(f"`{doc_key}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t")).where("d is not null and length(t) > 0")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("share", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("slots_agree", T.BooleanType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("share", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("template_share", T.DoubleType()), T.StructField("changed", T.IntegerType()), T.StructField("slots_agree", T.BooleanType())])
     total = chosen.count()
     passes = max(1, -(-total // items_a_pass))
     out = None
@@ -179,8 +221,9 @@ def leaked_passages(docs: DataFrame, doc_key: str, text: str, items: DataFrame,
             for batch in batches:
                 rows = [(d, *leak) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for leak in passages.leaks(t, share, least_hits)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.bool_()))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.bool_()))], names=schema.names)
 
         found = source.mapInArrow(scan, schema)
         out = found if out is None else out.union(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("share").alias("share"), F.min("start").alias("start"), F.max("slots_agree").alias("slots_agree"))
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "words", (-F.col("start")).alias("back"), "template_share", "changed", "slots_agree")).alias("m"))
+    return best.select("doc_id", "item_id", "m.words", "m.share", (-F.col("m.back")).alias("start"), "m.template_share", "m.changed", "m.slots_agree", (F.col("m.share") < share).alias("reparameterised"))

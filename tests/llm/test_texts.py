@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from semframe.llm import queries as Q
-from semframe.llm.leaks import common_subsequence, leaked_passages, plain, slots_agree, templates, tokens
+from semframe.llm.leaks import common_path, common_subsequence, leaked_passages, plain, slots_agree, templates, tokens
 from semframe.llm.mixing import mix_sources, pfair, token_counts
 from semframe.llm.pieces import cut, cut_pieces
 from semframe.llm.rolling import Powers, slices, window_hashes
@@ -108,7 +108,43 @@ def test_template_parts():
     assert typed == ["the", "weight", "is", "\x01num", "\x01unit", "in", "velden"] and named[-1] == "\x01name"
     assert common_subsequence("a b c d".split(), "b x d a".split()) == 2 and common_subsequence([], ["a"]) == 0
     slot = ["\x01num"] * 3
-    assert slots_agree(["1", "2", "1"], slot, ["7", "8", "7"], slot) and slots_agree(["1", "2", "1"], slot, ["7", "8", "9"], slot) is False and slots_agree(["a"], ["a"], ["a"], ["a"]) is None
+    assert slots_agree(["1", "2", "1"], slot, ["7", "8", "7"], slot) == (3, 3, True) and slots_agree(["1", "2", "1"], slot, ["7", "8", "9"], slot)[2] is False and slots_agree(["a"], ["a"], ["a"], ["a"]) == (1, 0, None)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcde"), max_size=14))
+def test_the_path_is_a_longest_common_subsequence(a, b):
+    path = common_path(a, b)
+    assert len(path) == common_subsequence(a, b) and all(a[i] == b[j] for i, j in path)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(path, path[1:]))
+
+
+def test_other_values_and_words_between(spark):
+    other = PASSAGE.replace("1987", "2004").replace("Harbour", "Orchard").replace("Company", "Society").replace("Velden", "Marlow").replace("40", "55").replace("12", "31").replace("March", "June")
+    between = PASSAGE.replace("sold", "sold then at once").replace("who paid", "who gladly paid")
+    got = leak(spark, [other, between, PASSAGE.replace("12 silver", "13 silver")])
+    assert got[0].changed >= 5 and got[0].slots_agree and got[1].slots_agree and got[1].changed == 0 and got[2].changed == 1
+    many = "The price of 12 apples in Velden is 30 and of 14 apples in Marlow 35"
+    turned = leak(spark, [many.replace("12", "71").replace("30", "72").replace("14", "73").replace("35", "74").replace("Velden", "Aldon").replace("Marlow", "Berin").replace("price", "cost").replace("apples", "pears"), many.replace("Velden", "Aldon").replace("Marlow", "Aldon")], many)
+    assert turned[1].slots_agree is False
+
+
+def test_leaks_are_brute_force(spark):
+    r = random.Random(8)
+    words = PASSAGE.split()
+    texts = []
+    for i in range(40):
+        kept = [w if r.random() > i / 50 else "other" for w in words]
+        texts.append(prose(i, 20) + " " + " ".join(kept) + " " + prose(i + 60, 20))
+    item = templates(tokens(PASSAGE))[0]
+    want = {}
+    for i, t in enumerate(texts):
+        lower = templates(tokens(t))[0]
+        best = max(common_subsequence(item, lower[s : s + len(item) + 12]) for s in range(len(lower)))
+        if best >= 0.5 * len(item):
+            want[i] = best
+    got = {d: x.words for d, x in leak(spark, texts).items() if not x.reparameterised}
+    assert got == want and 5 < len(want) < 40
 
 
 # -------------------------------------------------------------------- problem 5
