@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semframe.llm.multi_index import best_pairs, fit_index, search_blocks, vector_classes
+from semframe.operators.cells import Forest
 from semframe.operators.components import connected_components
 from semframe.runtime import staged
 
@@ -26,40 +27,21 @@ def follow(pointers: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 class Links:
     """What a block tells of one slice of queries after the other: the number
-    of entries within the radius, the nearest of them, and which entries and
-    queries are linked, directly or through others of the block.
-
-    ``root`` holds for each entry of the block the first entry it is known to
-    be linked with.  Links come out as a forest, at most one row a query and one
-    for each two groups that meet, never as pairs of vectors.
-    """
+    of entries within the radius, the nearest of them, and a forest of which
+    entries and queries are linked, directly or through others of the block."""
 
     def __init__(self, least: float, near: int):
-        self.least, self.near, self.eids, self.root = np.float32(least), near, None, None
+        self.least, self.near, self.forest = np.float32(least), near, Forest()
 
     def __call__(self, cosines, qids, eids, mask):
-        if self.eids is not eids:
-            self.eids, self.root = eids, np.arange(len(eids))
         hit = (cosines >= self.least) & mask
         within = hit.sum(1)
         some = np.flatnonzero(within)
         r, c = best_pairs(cosines[some], mask[some], self.near, float(self.least))
-        columns = np.flatnonzero(hit.any(0))
-        met, before, far = hit[np.ix_(some, columns)], self.root, len(eids)
-        lows = np.zeros(0, np.int64)
-        while len(some):
-            lows = np.where(met, self.root[columns], far).min(1)
-            low = np.full(far, far)
-            np.minimum.at(low, self.root[columns], np.where(met, lows[:, None], far).min(0))
-            moved = np.minimum(self.root, low[self.root])
-            if (moved == self.root).all():
-                break
-            self.root = moved
-        old = np.flatnonzero((before == np.arange(far)) & (self.root != before))
-        kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(some), len(r), len(some) + len(old)])
-        q = np.concatenate([qids[some], qids[some[r]], qids[some], eids[old]])
-        e = np.concatenate([qids[some], eids[c], eids[lows], eids[self.root[old]]])
-        return [kinds, q, e, np.concatenate([within[some].astype(np.float64), cosines[some[r], c].astype(np.float64), np.ones(len(some) + len(old))])]
+        a, b = self.forest.links(hit, qids, eids)
+        kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(some), len(r), len(a)])
+        values = np.concatenate([within[some].astype(np.float64), cosines[some[r], c].astype(np.float64), np.ones(len(a))])
+        return [kinds, np.concatenate([qids[some], qids[some[r]], a]), np.concatenate([qids[some], eids[c], b]), values]
 
 
 def density_clusters(df: DataFrame, keys: list[str], vector: str, min_cosine: float = 0.8, min_size: int = 5, dim: int = 64, wanted: int = 1024, near: int = 8, **fit) -> DataFrame:

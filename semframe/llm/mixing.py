@@ -40,25 +40,27 @@ def token_counts(df: DataFrame, key: str, text: str, source: str, vocabulary: st
     return counted.groupBy("doc").agg(F.min(F.struct("source", "tokens")).alias("m")).select("doc", "m.source", "m.tokens")
 
 
-def pfair(weights: dict[str, float], blocks: dict[str, int], slots: int) -> Iterator[tuple[int, str, int]]:
+def pfair(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[int, str, int]]:
     """``(slot, source, block)``: earliest deadline first among released blocks.
 
     Block ``j`` (from 0) of a source of weight ``w`` is released at slot
     ``floor(j / w)`` and due by ``ceil((j + 1) / w)``; with weights that sum to
-    at most 1 every deadline is met, so after each slot every source is within
-    one block of its share.  A source whose blocks run out leaves its slots
-    free.
+    at most 1 (others are refused) every deadline is met, so after each slot
+    every source is within one block of its share.  A source whose blocks run
+    out leaves its slots free.  Every block gets a slot.
     """
+    if sum(w for w in weights.values() if w > 0) > 1 + 1e-6:
+        raise ValueError("the weights sum to more than 1")
     exact = {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items() if w > 0 and blocks.get(s)}
     waiting = [(0, math.ceil(1 / w), s, 0) for s, w in exact.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    for slot in range(slots):
+    slot = -1
+    while waiting or ready:
+        slot = slot + 1 if ready else max(slot + 1, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
-        if not ready:
-            continue
         _, s, j = heapq.heappop(ready)
         yield slot, s, j
         if j + 1 < blocks[s]:
@@ -74,7 +76,7 @@ class Mix:
     placed: DataFrame
 
 
-def mix_sources(counted: DataFrame, targets: DataFrame, mix_tokens: int | None = None, slots: int = 10_000, slice_rows: int = 10_000, seed: int = 7) -> Mix:
+def mix_sources(counted: DataFrame, targets: DataFrame, mix_tokens: int | None = None, slots: int = 50_000, max_targets: int = 10_000, slice_rows: int = 10_000, seed: int = 7) -> Mix:
     """Interleave sources so that each supplies its target share of the tokens.
 
     ``counted`` is a table of ``doc, source, tokens`` and ``targets`` has
@@ -93,7 +95,8 @@ def mix_sources(counted: DataFrame, targets: DataFrame, mix_tokens: int | None =
     of the mix, is not reachable and supplies what it can; targets with a null
     source are ignored and repeated targets count once (the largest share);
     documents of sources without a target take no part but count in the default
-    length; an empty corpus gives a report of zeros.
+    length; an empty corpus gives a report of zeros; shares that sum to more than
+    1 and more than ``max_targets`` targets are refused.
     """
     goals = targets.select(F.lower(F.trim("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("long").alias("max_repeats")).where("source is not null")
     goals = goals.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("g")).select("source", "g.target_share", "g.max_repeats")
@@ -101,12 +104,14 @@ def mix_sources(counted: DataFrame, targets: DataFrame, mix_tokens: int | None =
     total = mix_tokens if mix_tokens is not None else int(sums.agg(F.sum("tokens")).first()[0] or 0)
     plan = goals.join(sums, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"))
     plan = plan.withColumn("needed_tokens", F.col("target_share") * F.lit(float(total)))
-    rows = plan.collect()
+    rows = plan.limit(max_targets + 1).collect()
+    if len(rows) > max_targets:
+        raise ValueError(f"more than {max_targets} targets")
     block = max(1, -(-total // slots))
     need = {r.source: min(r.needed_tokens, float(r.tokens * r.max_repeats)) for r in rows}
     blocks = {s: math.ceil(n / block) for s, n in need.items()}
     spark = counted.sparkSession
-    schedule = spark.createDataFrame(list(pfair({r.source: r.target_share for r in rows}, blocks, slots + len(rows))), "slot int, source string, block long")
+    schedule = spark.createDataFrame(list(pfair({r.source: r.target_share for r in rows}, blocks)), "slot int, source string, block long")
 
     chosen = plan.where("tokens > 0").select("source", "max_repeats", F.col("tokens").alias("all_tokens"), "docs", F.least(F.col("needed_tokens"), (F.col("tokens") * F.col("max_repeats")).cast("double")).alias("need"))
     lined = counted.where("tokens > 0").join(F.broadcast(chosen), "source").withColumn("h", F.xxhash64("doc", F.lit(seed)))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 HEADING = re.compile(r"\s*(?:(#{1,6})\s+\S|(={1,6})[^=].*[^=]?\2\s*$|<h([1-6])[\s>])", re.I)
 ITEM = re.compile(r"\s*(?:[-*+•]\s+|\d{1,3}[.)]\s+|\||<(?:li|tr|td|p|div|br)\b)", re.I)
 SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’)\]]*\s+|[。！？]+[」』”’)]*\s*)")
+TAG = re.compile(r"<(/?)(ul|ol|li|dl|dt|dd|table|thead|tbody|tr|td|th|div|p|section|article|blockquote|pre|h[1-6])\b[^<>]*>", re.I)
 GAP = re.compile(r"\s+")
 
 
@@ -32,10 +33,12 @@ class Node:
 
 def tree(text: str) -> Node:
     """Headings hold the blocks and deeper headings below them, blocks (split
-    by blank lines) hold lines or list items."""
+    by blank lines) hold lines and list items, items hold their further lines
+    and the items that are indented below them."""
     root = Node(0, len(text), "text")
     path = [(0, root)]
     block: Node | None = None
+    items: list[tuple[int, Node]] = []  # open list items and their indents
 
     def close(at: int) -> None:
         for _, n in path:
@@ -52,7 +55,7 @@ def tree(text: str) -> Node:
             path[-1][1].children.append(section)
             path.append((depth, section))
             section.children.append(Node(at, end, "heading"))
-            block = None
+            block, items = None, []
         elif not line.strip():
             # blank lines belong to what stands before them
             last = block or (path[-1][1].children[-1] if path[-1][1].children else None)
@@ -65,21 +68,70 @@ def tree(text: str) -> Node:
             block = None
         else:
             if block is None:
-                block = Node(at, end, "block", [])
+                block, items = Node(at, end, "block", []), []
                 path[-1][1].children.append(block)
-            block.end = end
-            block.children.append(Node(at, end, "item" if ITEM.match(line) else "line"))
+            indent = len(line) - len(line.lstrip())
+            is_item = ITEM.match(line) is not None
+            while items and (indent < items[-1][0] or indent == items[-1][0]):
+                items.pop()
+            for node in (block, *(n for _, n in items)):
+                node.end = end
+            own = Node(at, end, "line")
+            if is_item:
+                own = Node(at, end, "item", [own])
+            (items[-1][1] if items else block).children.append(own)
+            if is_item:
+                items.append((indent, own))
         at = end
     close(len(text))
     return root
 
 
+def elements(text: str, start: int, end: int) -> list[Node]:
+    """The outermost elements of markup and what stands between them; of a
+    stretch that is one element its tags and what they hold.  Elements that
+    aren't closed end where one of their kind begins, or with the stretch."""
+    tags = [(m.start(), m.end(), m[1] == "/", m[2].lower()) for m in TAG.finditer(text, start, end)]
+    if len(tags) > 1 and tags[0][0] == start and not tags[0][2]:
+        depth = 0
+        for n, (_, stop, closes, name) in enumerate(tags):
+            depth += (-1 if closes else 1) * (name == tags[0][3])
+            if not depth:
+                if n and not text[stop:end].strip():  # one element from end to end
+                    inner = elements(text, tags[0][1], tags[n][0])
+                    inner = inner or [Node(tags[0][1], tags[n][0], "line")]
+                    return [Node(start, tags[0][1], "tag"), *(x for x in inner if x.size), Node(tags[n][0], end, "tag")]
+                break
+    cuts, open_ = [], []
+    for at, stop, closes, name in tags:
+        if closes:
+            if name in open_:
+                while open_.pop() != name:
+                    pass
+                if not open_:
+                    cuts.append(stop)
+        else:
+            if open_ and open_[-1] == name and name in ("li", "p", "td", "th", "tr", "dt", "dd"):
+                open_.pop()
+            if not open_:
+                cuts.append(at)
+            open_.append(name)
+    cuts = sorted({c for c in cuts if start < c < end})
+    return [Node(a, b, "element") for a, b in zip([start, *cuts], [*cuts, end])] if cuts else []
+
+
 def finer(text: str, node: Node) -> list[Node]:
-    """Children of an oversized node: of the tree, else sentences, else words."""
-    if len(node.children) > 1:
-        return node.children
-    if node.children and node.children[0].size < node.size:
-        return [*node.children, Node(node.children[0].end, node.end, "line")]
+    """Children of an oversized node: of the tree, else elements of markup, else
+    sentences, else words."""
+    inner = list(node.children)
+    if inner and inner[-1].end < node.end:
+        inner.append(Node(inner[-1].end, node.end, "line"))
+    if len(inner) > 1:
+        return inner
+    if inner:  # one child that is the whole
+        return finer(text, inner[0])
+    if node.kind not in ("sentence", "word") and (inner := elements(text, node.start, node.end)):
+        return inner
     if node.kind in ("sentence", "word"):
         pattern, kind = GAP, "word"
     else:
@@ -140,7 +192,8 @@ def cut_pieces(df: DataFrame, keys: list[str], text: str, limit: int = 2000, ove
     """``<keys>.., size, longest_run, piece, start, end, boundary, content`` of
     every piece of the texts over ``limit`` characters.
 
-    A tree of headings, blocks, lines and list items is parsed from each text;
+    A tree of headings, blocks, lines, nested list items and elements of markup
+    is parsed from each text;
     sibling subtrees are merged bottom-up to the limit and only oversized nodes
     are entered, down to sentences, words and, within stretches that have no
     boundary at all, characters.  ``longest_run`` is the longest stretch

@@ -1,5 +1,6 @@
 """Spans, leaks, pieces and mixes."""
 
+import itertools
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from semframe.llm import queries as Q
 from semframe.llm.leaks import common_path, common_subsequence, leaked_passages, plain, slots_agree, templates, tokens
 from semframe.llm.mixing import mix_sources, pfair, token_counts
-from semframe.llm.pieces import cut, cut_pieces
+from semframe.llm.pieces import cut, cut_pieces, tree
 from semframe.llm.rolling import Powers, slices, window_hashes
 from semframe.llm.shared_spans import maximal_spans, shared_share, shared_spans, sharing_pairs
 
@@ -176,18 +177,55 @@ def test_pieces_follow_the_structure(spark):
         assert parts[0] + "".join(p[20:] for p in parts[1:]) == whole
 
 
+def whole(node, text):
+    """Children stand one after the other and within their parent."""
+    for a, b in zip(node.children, node.children[1:]):
+        assert a.end == b.start
+    assert not node.children or node.children[0].start == node.start and node.children[-1].end <= node.end
+    for child in node.children:
+        whole(child, text)
+
+
+def test_lists_within_lists():
+    text = "# Head\n\n- one\n  more of one\n  - one a\n    - one a i\n  - one b\n- two\nplain\n\n1. first\n   1. inner\n"
+    root = tree(text)
+    whole(root, text)
+    block = root.children[0].children[1]
+    told = [text[c.start : c.end].split("\n")[0].strip() for c in block.children]
+    assert told == ["- one", "- two", "plain"] and [text[c.start : c.end].split("\n")[0].strip() for c in block.children[0].children] == ["- one", "more of one", "- one a", "- one b"]
+    # pieces end where an item of the outer list ends
+    long = "".join(f"- item {i}\n" + "".join(f"  - part {i}.{j} of it\n" for j in range(4)) for i in range(12))
+    assert all(long[s:].startswith("- item") for s, _, _ in cut(long, 250, 0))
+
+
+def test_elements_of_markup():
+    rows = "".join(f"<tr><td>cell {i}</td><td>{'x' * 20}</td></tr>" for i in range(30))
+    text = f"<div><p>before</p><table>{rows}</table><p>after</p></div>"
+    parts = cut(text, 300, 0)
+    assert all(text[:e].endswith(("</tr>", "</table>", "<table>", "</p>", "</div>", "<div>")) for _, e, _ in parts) and len(parts) > 5
+    loose = "<ul>" + "".join(f"<li>point {i} {'y' * 30}" for i in range(30)) + "</ul>"
+    assert all(loose[s:].startswith(("<li>", "<ul>", "</ul>")) for s, _, _ in cut(loose, 200, 0))
+    for t in (text, loose, "<p>" * 50 + "a" * 50, "</p></li>" * 30 + "<p>z", "<ul><li>" * 40):
+        assert "".join(t[s:e] for s, e, _ in cut(t, 40, 0)) == t
+
+
 # -------------------------------------------------------------------- problem 9
 
 
 def test_pfair_keeps_within_one_block():
     weights = {"a": 0.5, "b": 0.3, "c": 0.2}
     done = dict.fromkeys(weights, 0)
-    for slot, s, j in pfair(weights, dict.fromkeys(weights, 10**6), 1000):
+    for slot, s, j in itertools.islice(pfair(weights, dict.fromkeys(weights, 10**6)), 1000):
         assert j == done[s]
         done[s] += 1
         assert all(abs(done[k] - w * (slot + 1)) < 1 for k, w in weights.items())
-    assert sum(done.values()) == 1000 and list(pfair({}, {}, 5)) == []
-    assert len(list(pfair({"a": 0.5}, {"a": 3}, 100))) == 3
+    assert sum(done.values()) == 1000 and list(pfair({}, {})) == []
+    assert [slot for slot, _, _ in pfair({"a": 0.5}, {"a": 3})] == [0, 2, 4]
+    # every block gets a slot, whatever the others leave free
+    placed = list(pfair({"a": 0.9, "b": 0.1}, {"a": 5, "b": 70}))
+    assert len(placed) == 75 and len({slot for slot, _, _ in placed}) == 75
+    with pytest.raises(ValueError):
+        list(pfair({"a": 0.7, "b": 0.7}, {"a": 1, "b": 1}))
 
 
 def test_mix(spark):
