@@ -8,7 +8,7 @@ the entries of the visited storage blocks by their exact cosine.
 
 What is held outside the executors is bounded by parameters: the sample the
 centroids are fitted on (``sample`` rows), the centroids and one counter a cell
-(at most ``max_half ** 2``).  Every row is indexed and every row counts.
+(at most ``max_half ** 2``, four bytes each).  Every row is indexed and every row counts.
 """
 
 from __future__ import annotations
@@ -129,29 +129,55 @@ def half_distances(matrix: np.ndarray, halves: list[np.ndarray]) -> list[np.ndar
     return [(part**2).sum(1)[:, None] - 2 * part @ c.T + (c**2).sum(1) for part, c in zip((matrix[:, :cut], matrix[:, cut:]), halves)]
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: list[list[int]], wanted: int, min_cells: int = 1) -> Iterator[list[tuple[int, int]]]:
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int, min_cells: int = 1, nearest: int = 64) -> Iterator[list[tuple[int, int]]]:
     """For each row of the distances: the centroid pairs in the order of their
     summed distance, until the visited cells hold ``wanted`` entries and at
-    least ``min_cells`` of them hold any; a dense cell alone doesn't end it."""
-    orders = [np.argsort(d, axis=1, kind="stable") for d in (first, second)]
-    values = [np.take_along_axis(d, o, 1).tolist() for d, o in zip((first, second), orders)]
-    width = len(sizes[0]) if sizes else 0
-    height = len(sizes)
-    for o1, o2, d1, d2 in zip(orders[0].tolist(), orders[1].tolist(), values[0], values[1]):
-        heap, got, visited = [(d1[0] + d2[0], 0, 0)], 0, []
-        while heap and (got < wanted or len(visited) < min_cells):
-            _, a, b = heapq.heappop(heap)
-            n = sizes[o1[a]][o2[b]]
-            if n:
-                got += n
-                visited.append((o1[a], o2[b]))
-            if b + 1 < width:
-                heapq.heappush(heap, (d1[a] + d2[b + 1], a, b + 1))
-            if b == 0 and a + 1 < height:
-                heapq.heappush(heap, (d1[a + 1] + d2[0], a + 1, 0))
+    least ``min_cells`` of them hold any; a dense cell alone doesn't end it.
+
+    Only the ``nearest`` centroids of either half are sorted; a walk that comes
+    to their end is made again with all of them."""
+
+    def ordered(distances: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        if most < distances.shape[1]:
+            some = np.argpartition(distances, most - 1, axis=1)[:, :most]
+            some.sort(axis=1)  # of equal distances the first centroid
+            own = np.take_along_axis(distances, some, 1)
+            order = np.argsort(own, axis=1, kind="stable")
+            return np.take_along_axis(some, order, 1), np.take_along_axis(own, order, 1)
+        order = np.argsort(distances, axis=1, kind="stable")
+        return order, np.take_along_axis(distances, order, 1)
+
+    height, width = sizes.shape
+    tops = [ordered(d, min(nearest, d.shape[1])) for d in (first, second)]
+    near = nearest < max(height, width)
+    for row, (o1, o2, d1, d2) in enumerate(zip(*(x.tolist() for x in (tops[0][0], tops[1][0], tops[0][1], tops[1][1])))):
+        visited = _walked(o1, o2, d1, d2, sizes, wanted, min_cells, near and (len(o1) < height, len(o2) < width))
+        if visited is None:
+            (o1, d1), (o2, d2) = (tuple(x[0].tolist() for x in ordered(d[row : row + 1], d.shape[1])) for d in (first, second))
+            visited = _walked(o1, o2, d1, d2, sizes, wanted, min_cells, False)
         yield visited
 
 
+def _walked(o1: list[int], o2: list[int], d1: list[float], d2: list[float], sizes: np.ndarray, wanted: int, min_cells: int, more: tuple[bool, bool] | bool) -> list[tuple[int, int]] | None:
+    """The visited pairs, or None where a centroid beyond the lists is needed."""
+    heap, got, visited = [(d1[0] + d2[0], 0, 0)], 0, []
+    while heap and (got < wanted or len(visited) < min_cells):
+        _, a, b = heapq.heappop(heap)
+        n = int(sizes[o1[a], o2[b]])
+        if n:
+            got += n
+            visited.append((o1[a], o2[b]))
+        if b + 1 < len(o2):
+            heapq.heappush(heap, (d1[a] + d2[b + 1], a, b + 1))
+        elif more and more[1]:
+            return None
+        if b == 0 and a + 1 < len(o1):
+            heapq.heappush(heap, (d1[a + 1] + d2[0], a + 1, 0))
+        elif b == 0 and more and more[0]:
+            return None
+    return visited
+
+
 @dataclass
 class MultiIndex:
     """Centroids of both halves and the layout of the cells in storage blocks."""
@@ -170,21 +196,26 @@ class MultiIndex:
         return len(self.salts)
 
 
-def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows: int = 64, block_rows: int = 2048, sample: int = 16384, max_half: int = 1024, rounds: int = 8, probes_a_task: int = 50_000, min_cells: int = 8, seed: int = 7) -> MultiIndex:
-    """Fit on at most ``sample`` rows, then count the entries of every cell.
+def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows: int = 64, block_rows: int = 2048, sample: int = 16384, max_half: int = 4096, rounds: int = 8, probes_a_task: int = 50_000, min_cells: int = 8, seed: int = 7) -> MultiIndex:
+    """Fit on at most ``sample`` rows (or eight a centroid, if that is more),
+    then count the entries of every cell.  The number of centroids follows the
+    rows up to ``max_half`` a half, which is a billion distinct vectors; beyond
+    that cells grow.
 
     Cells are packed into blocks of about ``block_rows`` entries along the
     centroid order; a hot cell is spread over several blocks, each of which is
     searched.  Blocks that many queries will visit (estimated from the sample)
     are copied and their probes salted.
     """
+    k = max(1, min(max_half, round((rows / cell_rows) ** 0.5)))
+    sample = max(sample, 8 * k)
     share = min(1.0, 1.2 * sample / max(rows, 1))
     picked = distinct.select("vec", F.xxhash64("vec").alias("h"))
     if share < 1:
         picked = picked.where(F.abs(F.col("h")) < int(share * (2**63 - 1)))
     taken = [bytes(r.vec) for r in picked.orderBy("h").limit(sample).collect()]
     points = np.frombuffer(b"".join(taken), np.float32).reshape(-1, dim)
-    k = max(1, min(max_half, len(points), round((rows / cell_rows) ** 0.5)))
+    k = max(1, min(k, len(points)))
     cut = dim // 2
     halves = [half_centroids(p, k, rounds, seed) for p in (points[:, :cut], points[:, cut:])] if len(points) else [np.zeros((1, cut), np.float32), np.zeros((1, dim - cut), np.float32)]
 
@@ -199,7 +230,7 @@ def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows:
     sizes = np.zeros(k * k, np.int64)
     for r in distinct.select("vec").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         sizes[r.cell] = r.n
-    first_block, spread, block, filled = np.zeros(k * k, np.int64), np.ones(k * k, np.int64), 0, 0
+    first_block, spread, block, filled = np.zeros(k * k, np.int32), np.ones(k * k, np.int32), 0, 0
     for cell, n in enumerate(sizes.tolist()):
         if cell % k == 0 or filled + n > block_rows:
             block, filled = block + (filled > 0), 0
@@ -209,7 +240,7 @@ def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows:
             block, filled = block + int(spread[cell]), 0
         else:
             filled += n
-    index = MultiIndex(halves, sizes.reshape(k, k), first_block.reshape(k, k), spread.reshape(k, k), np.ones(block + 1, np.int64), dim, wanted, min_cells)
+    index = MultiIndex(halves, np.minimum(sizes, 2**31 - 1).astype(np.int32).reshape(k, k), first_block.reshape(k, k), spread.reshape(k, k), np.ones(block + 1, np.int64), dim, wanted, min_cells)
     visits = np.zeros(block + 1)
     tried = points[:: max(1, len(points) // 2048)]
     for blocks in _visited(index, tried) if len(tried) else ():
@@ -220,11 +251,12 @@ def fit_index(distinct: DataFrame, rows: int, dim: int, wanted: int, cell_rows:
 
 def _visited(index: MultiIndex, matrix: np.ndarray) -> Iterator[list[int]]:
     first, second = half_distances(matrix, index.halves)
-    blocks, spread = index.first_block.tolist(), index.spread.tolist()
-    for cells in walk(first, second, index.sizes.tolist(), index.wanted, index.min_cells):
+    blocks, spread = index.first_block, index.spread
+    for cells in walk(first, second, index.sizes, index.wanted, index.min_cells):
         seen: set[int] = set()
         for i, j in cells:
-            seen.update(range(blocks[i][j], blocks[i][j] + spread[i][j]))
+            at = int(blocks[i, j])
+            seen.update(range(at, at + int(spread[i, j])))
         yield sorted(seen)
 
 

@@ -110,12 +110,15 @@ def test_walk_is_sorted_and_complete():
     rng = np.random.default_rng(0)
     first, second = rng.random((1, 5)), rng.random((1, 7))
     sizes = rng.integers(0, 3, (5, 7))
-    cells = next(walk(first, second, sizes.tolist(), 10**9))
+    cells = next(walk(first, second, sizes, 10**9))
     sums = [first[0, i] + second[0, j] for i, j in cells]
     assert sums == sorted(sums) and len(cells) == (sizes > 0).sum()
-    few = next(walk(first, second, sizes.tolist(), 4))
+    few = next(walk(first, second, sizes, 4))
     assert few == cells[: len(few)] and sum(sizes[c] for c in few) >= 4
-    assert len(next(walk(first, second, sizes.tolist(), 1, min_cells=6))) == 6
+    assert len(next(walk(first, second, sizes, 1, min_cells=6))) == 6
+    first, second, sizes = rng.random((20, 30)), rng.random((20, 40)), rng.integers(0, 3, (30, 40))
+    for wanted in (1, 30, 10**9):
+        assert list(walk(first, second, sizes, wanted, nearest=5)) == list(walk(first, second, sizes, wanted, nearest=50))
 
 
 def test_bytes_and_pointers(spark):
