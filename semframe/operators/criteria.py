@@ -269,7 +269,7 @@ class SoftEqual(Criterion):
     serialize: Serializer = plain
     measure: Measure = COSINE
     threshold: float = 0.9
-    template: str = 'Do the two descriptions refer to the same real-world entity? First: "{left}". Second: "{right}". Answer yes or no.'
+    template: str = 'Compare "{left}" with "{right}". Is it one and the same thing that both tell of? Yes or no.'
     system_prompt: str | None = None
 
     def __post_init__(self):

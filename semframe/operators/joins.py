@@ -16,7 +16,7 @@ from semframe.operators.criteria import All, Col, Criterion, FuzzyEqual, HardEqu
 from semframe.relation import Relation
 from semframe.runtime import staged
 
-TEMPLATE = 'Does "{a}" describe the same real-world entity as "{b}"?'
+TEMPLATE = 'One record reads "{a}", another reads "{b}". Are both about one and the same thing? Yes or no.'
 
 
 def disambiguated(left: Relation, right: Relation) -> tuple[DataFrame, DataFrame]:

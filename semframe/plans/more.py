@@ -21,7 +21,7 @@ from semframe.operators.project import Concat, Custom, Math, project
 from semframe.plans.queries import PART_VECTORS, UNIT, _letters, _part_names, _registry, _scan, query
 from semframe.relation import Relation
 from semframe.runtime import shared_dir, table
-from semframe.sources.scan import read_csv, read_json, read_json_lines, read_parquet, read_wiki_dump, values
+from semframe.sources.scan import read_csv, read_jdbc, read_json, read_json_lines, read_parquet, read_wiki_dump, values
 from semframe.sources.sinks import document_vectors, table_name_vectors, write_csv, write_parquet, write_table
 from semframe.streaming.streams import run_available, session_aggregate, stream_folder, windowed_aggregate
 
@@ -76,6 +76,16 @@ def source_xml(spark: SparkSession, folder: str) -> DataFrame:
     return read_wiki_dump(spark, path)
 
 
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > 20")
+def source_jdbc(spark: SparkSession, folder: str) -> DataFrame:
+    """A database's table in four ranges of its key; the database is one in the
+    memory of a local session."""
+    url, properties = f"jdbc:derby:memory:{uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    table(spark, folder, "supplier").select("s_suppkey", "s_name").write.jdbc(url, "supplier", properties=properties)
+    rows = read_jdbc(spark, url, "(SELECT * FROM supplier) t", properties, "S_SUPPKEY", (1, 100), 4)
+    return rows.toDF("s_suppkey", "s_name").where("s_suppkey > 20")
+
+
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'")
 def sink_parquet(spark: SparkSession, folder: str) -> DataFrame:
     """Parts by a column; the filter prunes them."""

@@ -79,8 +79,14 @@ def scan_limit_ordered(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT * FROM orders")
 def scan_semantic(spark: SparkSession, folder: str) -> DataFrame:
-    """The name ``order`` bound to ``public.orders`` by its letters."""
-    return scan(_registry(spark, folder), "order", model=LetterEmbedding(unit=True), threshold=0.3, validator=CallableValidator(lambda p: '"public.orders"' in p)).df
+    """The name ``order`` bound to ``public.orders`` by its letters, and by a
+    validator that wants one quoted word to begin the other."""
+
+    def begins(prompt: str) -> bool:
+        found, asked = prompt.split('"')[1:4:2]
+        return found.rpartition(".")[2].startswith(asked)
+
+    return scan(_registry(spark, folder), "order", model=LetterEmbedding(unit=True), threshold=0.3, validator=CallableValidator(begins)).df
 
 
 @query("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'")

@@ -44,7 +44,7 @@ def resolve_table(registry: TableRegistry, name: str, semantic: bool = True, mod
     if model is None:
         raise ValueError("binding by meaning needs an embedding model")
     for found in ranked(name, registry.names(), model, threshold):
-        if validator is None or validator(f'Does the table name "{found}" match what is meant by "{name}"? Answer yes or no.'):
+        if validator is None or validator(f'A table is called "{found}". Is it the one somebody wants who asks for "{name}"? Yes or no.'):
             return found
     raise KeyError(f"no table means {name}")
 
