@@ -55,12 +55,10 @@ class Cells:
         return pairs // self.blocks, pairs % self.blocks
 
 
-def fit_cells(entries: DataFrame, rows: int, block_rows: int = 8192, most: int = 1024) -> Cells | None:
+def fit_cells(entries: DataFrame, rows: int, block_rows: int = 8192, most: int = 1024) -> Cells:
     """Pivots are rows drawn by hash, about the square root of all and at most
     ``most``; every row counts for the radius of its cell."""
     told = [r.v for r in entries.where("v is not null").orderBy(F.xxhash64("id")).limit(max(1, min(most, round(rows**0.5)))).select("v").collect()]
-    if not told:
-        return None
     pivots = np.unique(np.array(told, np.float64), axis=0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,19 +92,42 @@ def fit_cells(entries: DataFrame, rows: int, block_rows: int = 8192, most: int =
     return Cells(pivots, far, long, block, spread, at + 1)
 
 
-def near_blocks(queries: DataFrame, entries: DataFrame, threshold: float, metric: str, reducer: Reducer, schema: str, probes_a_task: int = 50_000, **fit) -> DataFrame:
+def near_blocks(queries: DataFrame, entries: DataFrame, threshold: float, metric: str, reducer: Reducer, schema: str, probes_a_task: int = 50_000, small_bytes: int = 8 << 20, **fit) -> DataFrame:
     """Reduce what lies strictly beyond the threshold, block by block.
 
     ``queries`` and ``entries`` have ``id, v``, vectors of one length; ``ip`` is
     an inner product above the threshold, ``l2`` a squared distance below it.
     ``reducer(values, hit, query ids, entry ids)`` gets a slice of queries
     against one block and returns the columns of ``schema``; the slices of a
-    block follow each other with one array of entry ids.  Blocks that many
-    queries visit are copied and their queries salted."""
+    block follow each other with one array of entry ids.  Entries of at most
+    ``small_bytes`` are one block that is sent to all tasks of the queries;
+    more are parted into cells.  Blocks that many queries visit are copied and
+    their queries salted."""
     spark = entries.sparkSession
-    cells = fit_cells(entries, entries.count(), **fit)
-    if cells is None:
+    names = T._parse_datatype_string(schema).names
+
+    def reduced(x: np.ndarray, own: np.ndarray, block: np.ndarray, eids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(x), 512):
+            mine = slice(at, at + 512)
+            values = x[mine] @ block.T if metric == "ip" else squared_distances(x[mine], block)
+            out = reducer(values, values > threshold if metric == "ip" else values < threshold, own[mine], eids)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+
+    told = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    if not told.n:
         return spark.createDataFrame([], schema)
+    if told.n * told.dim * 8 <= small_bytes:
+        one = entries.select("id", "v").toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast((one.column(0).to_numpy(), np.stack(one.column(1).to_pylist()).astype(np.float64)))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            eids, block = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    yield from reduced(matrix_of(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False), block, eids)
+
+        return queries.select("id", "v").mapInArrow(whole, schema)
+    cells = fit_cells(entries, told.n, **fit)
     asked = queries.count()
     sample = [r.v for r in queries.orderBy(F.xxhash64("id", F.lit(1))).limit(2048).select("v").collect()]
     visits = np.zeros(cells.blocks)
@@ -153,13 +174,8 @@ def near_blocks(queries: DataFrame, entries: DataFrame, threshold: float, metric
                     continue
                 if block is None:
                     block, eids = np.concatenate(parts), np.concatenate(ids)
-                for q in range(s, e, 512):
-                    mine = slice(q, min(e, q + 512))
-                    values = x[mine] @ block.T if metric == "ip" else squared_distances(x[mine], block)
-                    out = reducer(values, values > threshold if metric == "ip" else values < threshold, own[mine], eids)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+                yield from reduced(x[s:e], own[s:e], block, eids)
 
-    names = T._parse_datatype_string(schema).names
     fields = "slot int, asks boolean, id long, v array<double>"
     routed = entries.select("id", "v").mapInArrow(route(True), fields).union(queries.select("id", "v").mapInArrow(route(False), fields))
     slots = int(salts.sum())

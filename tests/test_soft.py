@@ -155,13 +155,13 @@ def test_similar_pairs_in_slices(spark):
     assert got == {(i, j) for i in range(40) for j in range(30) if ((a[i] - b[j]) ** 2).sum() < 2.0}
 
 
-@pytest.mark.parametrize("metric, threshold", [("ip", 1.0), ("ip", -0.5), ("l2", 0.7)])
-def test_blocks_of_cells_are_complete(spark, metric, threshold):
+@pytest.mark.parametrize("metric, threshold, size", [("ip", 1.0, 0), ("ip", -0.5, 0), ("l2", 0.7, 0), ("l2", 0.7, 1 << 20)])
+def test_blocks_of_cells_are_complete(spark, metric, threshold, size):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(150, 3)), np.repeat([[1.0, 1, 0]], 50, 0), [[0, 0, 0]]])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     near = x @ x.T > threshold if metric == "ip" else squared_distances(x, x) < threshold
-    small = {"block_rows": 16, "probes_a_task": 40}
+    small = {"block_rows": 16, "probes_a_task": 40, "small_bytes": size}
     got = [tuple(r) for r in near_blocks(df, df, threshold, metric, lambda _, hit, q, e: [q[np.nonzero(hit)[0]], e[np.nonzero(hit)[1]]], "a long, b long", **small).collect()]
     assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
     forest = Forest()
