@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,7 @@ def norm(u: Column) -> Column:
 
 def cosine(u: Column, v: Column) -> Column:
     """Cosine similarity; 0 where either vector is zero, null where one is."""
-    below = norm(u) * norm(v)
-    return F.when(below == 0, F.lit(0.0)).otherwise(dot(u, v) / below)
+    return bound(norm(u) * norm(v), lambda below: F.when(below == 0, F.lit(0.0)).otherwise(dot(u, v) / below))
 
 
 def squared_l2(u: Column, v: Column) -> Column:
@@ -55,17 +55,22 @@ def jaccard(u: Column, v: Column) -> Column:
     return F.when(either == 0, F.lit(0.0)).otherwise(1 - both / either)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used
+    there; inside of lambdas Spark would evaluate it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalized(u: Column) -> Column:
     """At length 1; a zero vector stays as it is."""
-    n = norm(u)
-    return F.transform(u, lambda a: F.when(n == 0, a.cast("double")).otherwise(a.cast("double") / n))
+    return bound(u, lambda x: bound(norm(x), lambda n: F.transform(x, lambda a: F.when(n == 0, a.cast("double")).otherwise(a.cast("double") / n))))
 
 
 def mean_pool(vectors: list[Column]) -> Column:
     """Mean of those of the vectors that aren't null."""
     size = sum((v.isNotNull().cast("double") for v in vectors[1:]), vectors[0].isNotNull().cast("double"))
     sums = reduce(lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y)), [F.transform(v, lambda x: x.cast("double")) for v in vectors])
-    return F.transform(sums, lambda x: x / size)
+    return bound(size, lambda n: F.transform(sums, lambda x: x / n))
 
 
 def concatenated(vectors: list[Column]) -> Column:
