@@ -103,7 +103,7 @@ def vector_classes(df: DataFrame, keys: list[str], vector: str, dim: int) -> Vec
     rows carry is searched once and its rows never meet in one task."""
     items = staged(usable_vectors(df, keys, vector, dim), "vectors")
     ks = [f"k{i}" for i in range(len(keys))]
-    distinct = staged(items.groupBy("vec").agg(F.count(F.lit(1)).alias("n"), *[F.first(k).alias(k) for k in ks]).withColumn("vid", F.monotonically_increasing_id()), "classes")
+    distinct = staged(items.groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ks)).alias("low")).select("vec", "n", "low.*").withColumn("vid", F.monotonically_increasing_id()), "classes")
     shared = staged(items.join(distinct.where("n > 1").select("vec", "vid"), "vec").select("vid", *ks), "copies")
     return VectorClasses(distinct, shared, distinct.count(), len(keys))
 

@@ -73,7 +73,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-@query()
+@query("""
+WITH items AS (
+  SELECT 'chunks' AS collection, id, chunk_id, any_value(embedding)::DOUBLE[] AS e FROM chunks GROUP BY ALL
+  UNION ALL SELECT 'documents', doc_id, -1, any_value(text_embedding)::DOUBLE[] FROM documents GROUP BY ALL
+  UNION ALL SELECT 'tables', table_id, -1, any_value(embedding)::DOUBLE[] FROM table_vectors GROUP BY ALL),
+usable AS (SELECT collection, id, chunk_id, list_transform(e, lambda x: (x / sqrt(list_inner_product(e, e)))::FLOAT) AS u FROM items WHERE e IS NOT NULL AND isfinite(list_inner_product(e, e)) AND list_inner_product(e, e) > 0),
+classes AS MATERIALIZED (SELECT collection, u, min((id, chunk_id)) AS low, count(*) AS copies FROM usable GROUP BY collection, u),
+asked AS (SELECT DISTINCT collection, u FROM usable WHERE id % 50 = 0),
+near AS (SELECT a.collection, a.u, c.low, c.copies, list_inner_product(a.u::DOUBLE[], c.u::DOUBLE[]) AS cosine FROM asked a JOIN classes c ON a.collection = c.collection AND a.u <> c.u),
+best AS (SELECT *, row_number() OVER (PARTITION BY collection, u ORDER BY cosine DESC, low) AS rank FROM near QUALIFY rank <= 5)
+SELECT collection, id, chunk_id, rank, low[1] AS near_id, low[2] AS near_chunk_id, copies, round(cosine, 3) AS cosine FROM best JOIN usable USING (collection, u) WHERE id % 50 = 0
+""")
 def p1_knn(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors, whatever their cosine, of the rows whose id is
     divisible by 50, against all rows."""
@@ -81,7 +92,7 @@ def p1_knn(spark: SparkSession, folder: str) -> DataFrame:
     for name, (source, keys, vector) in VECTORS.items():
         rows = nearest_of(table(spark, folder, source), keys, vector, every=50, k=5, wanted=32 * WANTED)
         rows = rows.withColumnsRenamed({keys[0]: "id", f"near_{keys[0]}": "near_id"})
-        parts.append(_second_key(rows, ["chunk_id", "near_chunk_id"]).select(F.lit(name).alias("collection"), "id", "chunk_id", "rank", "near_id", "near_chunk_id", "copies", "cosine"))
+        parts.append(_second_key(rows, ["chunk_id", "near_chunk_id"]).select(F.lit(name).alias("collection"), "id", "chunk_id", "rank", "near_id", "near_chunk_id", "copies", F.round("cosine", 3).alias("cosine")))
     return reduce(DataFrame.union, parts)
 
 
