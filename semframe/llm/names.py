@@ -117,7 +117,7 @@ def learned_words(names: DataFrame, group: str, name: str, kind: str, common_sha
     seen = rows.select("g", "k", F.element_at("words", 1).alias("first"), F.explode(F.array_distinct("words")).alias("w"))
     first = (F.col("w") == F.col("first")).cast("long")
     counts = [F.sum(x).alias(n) for n, x in (("n", (F.col("k") != "p").cast("long")), ("opens", F.when(F.col("k") != "p", first).otherwise(0)), ("people_n", (F.col("k") != "o").cast("long")), ("people_opens", F.when(F.col("k") != "o", first).otherwise(0)))]
-    seen = seen.groupBy("g", "w").agg(*counts).join(F.broadcast(sizes), "g")  # one row a group
+    seen = seen.groupBy("g", "w").agg(*counts).join(sizes, "g")
     seen = seen.select("g", "w", F.expr(f"n >= {least} and n >= {common_share} * others and 2 * opens < n").alias("common"), F.expr(f"2 * people_n >= {least} and people_n >= {given_share} * people and 2 * people_opens >= people_n").alias("given")).where("common or given")
     told: dict[str, tuple[set[str], set[str]]] = {}
     for r in seen.collect():
