@@ -21,7 +21,7 @@ from semframe.operators.components import connected_components
 from semframe.operators.criteria import All, Col, Const, HardEqual, SoftEqual, SoftValidate, select
 from semframe.operators.joins import similar_pairs, soft_join
 from semframe.operators.metrics import bleu, bleu_representativeness, calc_bleu, classify_one_vs_all, cluster_scores, expected_mi, match_metrics, text_tokens, threshold_sweep
-from semframe.operators.nested import child_table, nested_nodes, nested_objects, nested_strings
+from semframe.operators.nested import child_cells, child_table, child_tables, nested_nodes, nested_objects, nested_strings
 from semframe.relation import Relation
 from semframe.sources.scan import values
 from tests.util import same
@@ -320,6 +320,32 @@ def test_nested(spark):
         child_table(nested_nodes(spark.createDataFrame([("e", json.dumps({"x": {f"f{i}": i for i in range(9)}}))], "id string, p string"), "id", "p"), "x", max_fields=5)
 
 
+def test_nested_tables_are_whole(spark):
+    """Any number of properties and fields, and the rows that parents lead to."""
+    many = {f"p{i}": {"id": i} for i in range(600)}
+    wide = {"id": "w", "it's": {"id": 1}, "n": None, "t": [1, "x"]} | {f"f{i}": i + 0.5 for i in range(9)}
+    rows = [("e1", json.dumps(many), '["r1", null, 7]'), ("e2", json.dumps({"name": ["n"], "wide": [wide, {}, "plain", {"f1": True}]}), '[{"id": "o"}]'), ("e3", "null", "{broken")]
+    df = spark.createDataFrame(rows, "id string, p string, q string")
+    nodes = nested_nodes(df, "id", ["p", "q"])
+    tables = child_tables(nodes)
+    assert len(tables) == 603 and set(tables) == set(many) | {None, "wide", "it's"}
+    assert [r.id for r in tables["p599"].collect()] == [599] and "p600" not in tables
+    assert sorted((r.record_id, r._value) for r in tables[None].select("record_id", "_value").collect() if r._value) == [("e1", '"r1"'), ("e1", "7")]
+    # a row each for all objects; every parent is a row
+    cells = [r.asDict() for r in child_cells(nodes).collect()]
+    assert len(cells) == 600 + 5 + 4 and {r["parent_node"] for r in cells} - {None} <= {r["node"] for r in cells}
+    assert sorted(r["cells"] for r in cells if r["prop"] is None and r["record_id"] == "e1" and len(r["cells"]) < 9) == ['"r1"', "7"]
+    assert len(json.loads(next(r["cells"] for r in cells if r["prop"] is None and r["record_id"] == "e1" and len(r["cells"]) > 9))) == 600
+    got = sorted((r["cells"] for r in cells if r["prop"] == "wide"), key=len)
+    assert got[:2] == ["{}", '{"f1":"true"}'] and json.loads(got[2]) == {"id": "w", "it's": '{"id":1}', "n": "null", "t": '[1,"x"]'} | {f"f{i}": str(i + 0.5) for i in range(9)}
+    # wider than a table or a map may be: the same cells
+    assert sorted(map(repr, cells)) == sorted(repr(r.asDict()) for r in child_cells(nodes, most_fields=2).collect())
+    fields = [r._fields for r in child_tables(nodes, max_fields=5)["wide"].collect()]
+    assert sorted(map(len, fields)) == [0, 1, 13] and max(fields, key=len)["it's"] == '{"id":1}'
+    assert sorted(r["it's"] or "" for r in tables["wide"].collect()) == ["", "", '{"id":1}']
+    assert not child_tables(nested_nodes(df.limit(0), "id", ["p", "q"])) and not child_cells(nested_nodes(df.limit(0), "id", "p")).count()
+
+
 def test_streams(spark, tmp_path, data):
     from semframe.plans.queries import QUERIES
     from semframe.operators.criteria import GreaterThan
